@@ -45,7 +45,9 @@ def normal(table) -> tuple[dict, list]:
 
 def check(spark, con, sf_dir, name, fn, sql) -> str:
     df = fn(spark, sf_dir)
+    t0 = time.time()
     got = df.toArrow()
+    print(f"[{time.time() - t0:5.1f}s] ", end="")
     if sql is None:
         return f"rows-only {got.num_rows}"
     want = con.execute(sql).to_arrow_table() if hasattr(con, "to_arrow_table") else con.execute(sql).fetch_arrow_table()

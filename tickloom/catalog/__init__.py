@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-MODULES = ("tables",)
+MODULES = ("tables", "features")
 
 
 def _entries() -> dict:

@@ -1,19 +1,24 @@
-"""Ordered windows over long series without one task per series.
+"""Ordered windows over series.
 
-A plain ``Window.partitionBy(symbol)`` sends a whole series to one task.  When
-one symbol may own a large share of the table that task is the job.  The helper
-here cuts each series into chunks of consecutive time buckets of about
-``chunk_rows`` rows and copies to each chunk just the neighbouring buckets a
-row-bounded frame can reach, so results equal the unsplit window exactly:
+A bar table holds one row per (symbol, scale, grid slot), so a series is bounded by
+the calendar however large the table is: 75 slots a day is about 0.6 million rows
+in thirty years.  A window per series is then one shuffle of modest, even tasks, and
+that is the default.
+
+Where that bound does not hold, or a few long series must spread over many
+executors, pass ``chunk_rows``: each series is cut into chunks of consecutive time
+buckets and every chunk also receives the neighbouring buckets a row-bounded frame
+can reach, so results equal the unsplit window exactly:
 
 1. count rows per (series, time bucket)     -- partial aggregation, tiny shuffle
 2. number buckets into chunks               -- window over the counts only
 3. add halo targets for the frame's reach   -- equi-join on (series, chunk id)
 4. send rows to their chunks, run the window on (series, chunk), drop the halo
 
-Frames that reach to the start of a series are covered by
-:func:`running_total` and :mod:`tickloom.operators.asof`, which carry one summary
-row per bucket instead.
+The counts read the input a second time, so split stored tables rather than long
+chains.  Frames that reach to the start of a series are covered by
+:func:`running_total`, :func:`carry_forward` and :mod:`tickloom.operators.asof`, which
+carry one summary row per bucket instead.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-#: rows aimed at per window task; above any bar window the package uses
-CHUNK_ROWS = 262_144
+#: default: no split (series bounded by the bar contract)
+CHUNK_ROWS: int | None = None
+#: rows aimed at per window task when a series is split
+SPLIT_ROWS = 262_144
 #: time bucket that stays atomic; one bar per grid slot bounds its size
 BUCKET = "month"
 
@@ -56,7 +63,7 @@ def _map_chunks(df: DataFrame, keys: Sequence[str], bucket: Column, lookback: in
 
 def over_series(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]], *,
                 keys: Sequence[str] = ("symbol",), order: str = "ts", lookback: int = 0,
-                lookahead: int = 0, chunk_rows: int = CHUNK_ROWS, bucket: str = BUCKET,
+                lookahead: int = 0, chunk_rows: int | None = CHUNK_ROWS, bucket: str = BUCKET,
                 stages: Sequence[Callable[[WindowSpec], dict[str, Column]]] = ()) -> DataFrame:
     """Add window columns over each series, ordered by ``order``.
 
@@ -65,6 +72,11 @@ def over_series(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
     the same partitions (no further shuffle) and may use columns made earlier; the
     reaches given must cover the sum over all stages.
     """
+    if chunk_rows is None:
+        spec = Window.partitionBy(*keys).orderBy(order)
+        for step in (build, *stages):
+            df = df.withColumns(step(spec))
+        return df
     chunk_rows = max(chunk_rows, lookback, lookahead, 1)
     at = F.date_trunc(bucket, F.col(order).cast("timestamp"))
     chunk_map = _map_chunks(df, keys, at, lookback, lookahead, chunk_rows)

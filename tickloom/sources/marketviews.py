@@ -10,6 +10,7 @@ lines reaches the shuffle as one row per day.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -23,7 +24,9 @@ SLOTS = 75
 PRICE_TICKS = 100_000  # price ticks per unit
 
 
+@functools.lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A scan; kept per session so its footer is read once."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
