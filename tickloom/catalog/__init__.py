@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-MODULES = ("tables", "features")
+MODULES = ("tables", "features", "labels", "calendars")
 
 
 def _entries() -> dict:

@@ -69,7 +69,7 @@ def count_between(pairs: DataFrame, days: DataFrame, start: str, end: str, name:
     a = c.select(F.col("day").alias(start), before.alias("_lo"))
     b = c.select(F.col("day").alias(end), upto.alias("_hi"))
     return (pairs.join(a, start, "left").join(b, end, "left")
-            .withColumn(name, F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0))).drop("_lo", "_hi"))
+            .withColumn(name, F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)).cast("long")).drop("_lo", "_hi"))
 
 
 def holidays(table: DataFrame, year: int | None = None) -> DataFrame:
