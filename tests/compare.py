@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -50,7 +51,12 @@ def check(spark, con, sf_dir, name, fn, sql) -> str:
     print(f"[{time.time() - t0:5.1f}s] ", end="")
     if sql is None:
         return f"rows-only {got.num_rows}"
-    want = con.execute(sql).to_arrow_table() if hasattr(con, "to_arrow_table") else con.execute(sql).fetch_arrow_table()
+    guard = threading.Timer(60, con.interrupt)  # a bad oracle plan must not stall the run
+    guard.start()
+    try:
+        want = con.sql(sql).to_arrow_table()
+    finally:
+        guard.cancel()
     (gt, gr), (wt, wr) = normal(got), normal(want)
     if sorted(gt) != sorted(wt):
         return f"FAIL columns {sorted(set(gt) ^ set(wt))}"

@@ -46,7 +46,8 @@ def q_ic(s, d):
 
 
 def q_ic_spread(s, d):
-    return rounded(mt.ic_spread(mt.rank_ic_by_group(mv.predictions(s, d), ["horizon", "date"]), ["horizon"]))
+    per = mt.rank_ic_by_group(mv.predictions(s, d), ["horizon", "date"])
+    return rounded(mt.ic_spread(per.withColumn("ic", F.round("ic", 9)), ["horizon"]))
 
 
 def q_pooled(s, d):
@@ -272,7 +273,7 @@ QUERIES = {
     "flagship_rank_ic": (q_flagship, FLAGSHIP_SQL),
     "rank_ic_by_horizon": (q_ic, oracle(summary_sql("horizon"), rk=PRK, ic=PIC)),
     "rank_ic_spread": (q_ic_spread, oracle(f"""SELECT horizon, {r('quantile_cont(ic, 0.1)')} AS p10, {r('quantile_cont(ic, 0.5)')} AS p50, {r('quantile_cont(ic, 0.9)')} AS p90,
-  count(*) FILTER (ic > 0) AS n_pos, count(*) FILTER (ic < 0) AS n_neg FROM ic WHERE ic IS NOT NULL GROUP BY horizon""", rk=PRK, ic=PIC)),
+  count(*) FILTER (ic > 0) AS n_pos, count(*) FILTER (ic < 0) AS n_neg FROM (SELECT horizon, round(ic, 9) AS ic FROM ic) WHERE ic IS NOT NULL GROUP BY horizon""", rk=PRK, ic=PIC)),
     "pooled_ic": (q_pooled, oracle(f"SELECT horizon, count(*) AS n, {r('corr(rp, rr)')} AS ic FROM rk GROUP BY horizon",
                                    src="SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY horizon, date) AS w FROM preds) WHERE w >= 5",
                                    rk=RANKS.format(by="horizon", p="pred_lr", y="real_lr", src="src"))),

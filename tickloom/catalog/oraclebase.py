@@ -121,7 +121,7 @@ def oracle(body: str, **ctes: str) -> str:
     for text in own.values():
         visit(text)
     visit(body)
-    parts = [f"{n} AS ({BASE[n]})" for n in need] + [f"{n} AS ({t})" for n, t in own.items()]
+    parts = [f"{n} AS MATERIALIZED ({BASE[n]})" for n in need] + [f"{n} AS MATERIALIZED ({t})" for n, t in own.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

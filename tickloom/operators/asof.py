@@ -33,13 +33,16 @@ def _carried(rows: DataFrame, probe: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def asof_many(left: DataFrame, sources: dict[str, Source], *, keys: Sequence[str] = ("symbol",),
-              left_time: str = "anchor_ts", strict: bool = True,
+              left_time: str = "anchor_ts", strict: bool = True, forward: bool = False,
               bucket: str | None = None) -> DataFrame:
     """Left rows with the latest row of every source, in one pass over the left side.
 
-    ``strict`` takes right rows with time ``<`` the left time, otherwise ``<=``.
+    ``strict`` takes right rows with time ``<`` the left time, otherwise ``<=``;
+    ``forward`` looks for the earliest row after (or at) the left time instead.
     Every source holds one row per (key, time).  Unmatched payloads are null.
     """
+    if forward and bucket:
+        raise ValueError("time buckets are carried forward in time only")
     probe = left.select(*keys, F.col(left_time).alias("_t"),
                         _cut(bucket, left_time), F.struct(*left.columns).alias("_l"))
     right_side, left_side = (1, 0) if strict else (0, 1)
@@ -55,7 +58,7 @@ def asof_many(left: DataFrame, sources: dict[str, Source], *, keys: Sequence[str
         for part in parts:
             both = both.unionByName(part.withColumnRenamed("_p", f"_p_{name}"),
                                     allowMissingColumns=True)
-    upto = (Window.partitionBy(*keys, *(["_b"] if bucket else [])).orderBy(F.col("_t").asc_nulls_first(), "_side")
+    upto = (Window.partitionBy(*keys, *(["_b"] if bucket else [])).orderBy(F.col("_t").desc() if forward else F.col("_t").asc_nulls_first(), "_side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hits = both.withColumns({
         f"_h_{name}": F.last(f"_p_{name}", ignorenulls=True).over(upto) for name in sources})

@@ -81,6 +81,12 @@ def quantile_bucket(value: str, by: Sequence[str], bins: int) -> Column:
         F.aggregate(edges, F.lit(0), lambda n, e: n + (e <= F.col(value)).cast("int")))
 
 
+def first_per(df: DataFrame, keys: Sequence[str], order: str | Column, last: bool = False) -> DataFrame:
+    """Earliest (or latest) row per key, as an aggregate: reduced before the shuffle."""
+    pick = (F.max_by if last else F.min_by)(F.struct(*df.columns), F.col(order) if isinstance(order, str) else order)
+    return df.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
+
+
 # ------------------------------------------------------------------------- pools
 
 def value_positions(df: DataFrame, by: Sequence[str], value: str,
