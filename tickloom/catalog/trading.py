@@ -188,7 +188,7 @@ def q_gate(s, d):
     out = gate_days(s, d).withColumn("chosen_stocks", F.array_join("chosen_stocks", ","))
     x = F.col("lookback_sharpe")
     out = out.withColumn("lookback_sharpe", F.signum(x) * F.log1p(F.abs(x)))
-    return rounded(out, 4)
+    return rounded(out, 4, lookback_pnl_bps=6)
 
 
 GATE = {
@@ -203,7 +203,7 @@ GATE = {
   FROM tests t JOIN dts h ON h.dn BETWEEN t.dn - 4 AND t.dn - 2 JOIN db ON db.date = h.date GROUP BY ALL""",
     "bst": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, no) AS rn FROM sco WHERE k > 0) WHERE rn = 1",
 }
-GATE_SQL = oracle(f"""SELECT t.date AS test_date, CASE WHEN m > 0 THEN {r('b.thr', 4)} END AS chosen_threshold, {r('m', 4)} AS lookback_pnl_bps,
+GATE_SQL = oracle(f"""SELECT t.date AS test_date, CASE WHEN m > 0 THEN {r('b.thr', 4)} END AS chosen_threshold, {r('m', 6)} AS lookback_pnl_bps,
   {r('sign(m) * ln(1 + abs(m / CASE WHEN sd = 0 THEN 1e-9 ELSE sd END * sqrt(252.0)))', 4)} AS lookback_sharpe, coalesce(k, 0) AS n_lookback_trades, CASE WHEN m > 0 AND fires THEN 3 ELSE 0 END AS n_today_trades,
   {r('CASE WHEN m > 0 AND fires THEN bps ELSE 0 END', 4)} AS today_pnl_bps, CASE WHEN m > 0 AND fires THEN picks ELSE '' END AS chosen_stocks
   FROM tests t LEFT JOIN bst b ON b.date = t.date LEFT JOIN db ON db.date = t.date AND db.thr = b.thr AND m > 0""", **GATE)
@@ -227,12 +227,21 @@ def h1(s, d):
     return mv.predictions(s, d).filter("horizon = 'h1'").select("date", "stock", "pred_lr", "real_lr")
 
 
+def log_sleeve(df):
+    """Compounded percent as a log return: test prices compound to astronomic sleeves."""
+    return df.withColumn("sleeve_pct", F.log1p(F.col("sleeve_pct") / 100))
+
+
+def rolling_scores(s, d):
+    return log_sleeve(st.rolling_rebalance(h1(s, d), holds=(3, 5), ks=(3, 5)))
+
+
 def q_rolling(s, d):
-    return rounded(st.rolling_rebalance(h1(s, d), holds=(3, 5), ks=(3, 5)), 5)
+    return rounded(rolling_scores(s, d), 5)
 
 
 def q_offsets(s, d):
-    return rounded(st.over_offsets(st.rolling_rebalance(h1(s, d), holds=(3, 5), ks=(3, 5))), 5)
+    return rounded(st.over_offsets(rolling_scores(s, d)), 5)
 
 
 def rolling_ctes():
@@ -247,7 +256,7 @@ def rolling_ctes():
   sum(real_lr) OVER (PARTITION BY stock ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS hl3, sum(real_lr) OVER (PARTITION BY stock ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS hl5
   FROM h1p p JOIN dts USING (date)""",
         "ports": " UNION ALL ".join(per),
-        "ro": """SELECT hold, k, "offset", count(*) AS n, avg(r) / (stddev_samp(r) + 1e-12) * sqrt(250.0 / hold) AS sharpe, (exp(sum(r)) - 1) * 100 AS sleeve_pct, avg((r > 0)::INT) AS hit FROM ports GROUP BY hold, k, "offset" HAVING count(*) >= 2""",
+        "ro": """SELECT hold, k, "offset", count(*) AS n, avg(r) / (stddev_samp(r) + 1e-12) * sqrt(250.0 / hold) AS sharpe, sum(r) AS sleeve_pct, avg((r > 0)::INT) AS hit FROM ports GROUP BY hold, k, "offset" HAVING count(*) >= 2""",
     }
 
 
@@ -277,11 +286,11 @@ def ensemble_sql(std):
 
 
 def q_quarters(s, d):
-    return rounded(st.series_stats(gate_days(s, d)), 4)
+    return rounded(log_sleeve(st.series_stats(gate_days(s, d))), 4)
 
 
 QUARTER_SQL = oracle(f"""SELECT coalesce(quarter, 'TOTAL') AS quarter, count(*) AS n, count(*) FILTER (b <> 0) AS traded, {r('avg(b)', 4)} AS mean_bps,
-  {r('avg(b) / CASE WHEN stddev_pop(b) = 0 THEN 1e-9 ELSE stddev_pop(b) END * sqrt(252.0)', 4)} AS sharpe, {r('(exp(sum(ln(1 + b / 10000))) - 1) * 100', 4)} AS sleeve_pct,
+  {r('avg(b) / CASE WHEN stddev_pop(b) = 0 THEN 1e-9 ELSE stddev_pop(b) END * sqrt(252.0)', 4)} AS sharpe, {r('sum(ln(1 + b / 10000))', 4)} AS sleeve_pct,
   {r('count(*) FILTER (b > 0) / greatest(count(*) FILTER (b <> 0), 1)::DOUBLE * 100', 4)} AS hit_pct
   FROM (SELECT year(date) || '-Q' || quarter(date) AS quarter, b FROM gd) GROUP BY ROLLUP (quarter)""", **GATE,
                      gd="SELECT t.date, CASE WHEN m > 0 AND fires THEN bps ELSE 0 END AS b FROM tests t LEFT JOIN bst b ON b.date = t.date LEFT JOIN db ON db.date = t.date AND db.thr = b.thr AND m > 0")
