@@ -27,6 +27,8 @@ def local_session(cores: int | str = 8, app: str = "tickloom", memory: str = "12
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", memory))
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local tables: keep window work spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

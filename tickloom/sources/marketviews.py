@@ -33,29 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, d, open/high/low/close, volume: one row per brand and ship date."""
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
+    # order of trades inside a day: order, line, price, packed in one long (36 + 3 + 24 bits)
+    # so that every aggregate has a primitive buffer and stays in hash aggregation
+    seq = (F.pmod("l_orderkey", F.lit(1 << 36)) * 8 + F.col("l_linenumber")) * (1 << 24) + cents
     line = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.to_date("l_shipdate").alias("d"),
-        (F.lit(100 * PRICE_TICKS) + cents).alias("ticks"), "l_quantity",
-        # order of trades inside a day: order, line, price; a decimal keeps hash aggregation
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
-         * F.lit(10**9).cast("decimal(10,0)")
-         + (F.lit(100 * PRICE_TICKS) + cents).cast("decimal(12,0)")).alias("seq"))
+        "l_partkey", F.to_date("l_shipdate").alias("d"), cents.alias("cents"), "l_quantity", seq.alias("seq"))
     per_part = line.groupBy("l_partkey", "d").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.max("ticks").alias("hi"), F.min("ticks").alias("lo"),
+        F.max("cents").alias("hi"), F.min("cents").alias("lo"),
         F.sum("l_quantity").cast("long").alias("volume"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     days = (per_part.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy("symbol", "d").agg(
                 F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
                 F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("volume").alias("volume")))
-    price = lambda t: t.cast("long") / F.lit(float(PRICE_TICKS))
-    billion = F.lit(10**9).cast("decimal(10,0)")
+    base = 100 * PRICE_TICKS
+    price = lambda t: (t + base) / F.lit(float(PRICE_TICKS))
+    last = lambda c: F.col(c).bitwiseAND(F.lit((1 << 24) - 1))
     return days.select(
-        "symbol", "d", price(F.col("first_seq") % billion).alias("open"),
+        "symbol", "d", price(last("first_seq")).alias("open"),
         price(F.col("hi") + F.pmod(F.col("volume"), F.lit(7)) * 1000).alias("high"),
         price(F.col("lo") - F.pmod(F.col("volume"), F.lit(5)) * 1000).alias("low"),
-        price(F.col("last_seq") % billion).alias("close"), "volume")
+        price(last("last_seq")).alias("close"), "volume")
 
 
 def is_trading(d: Column) -> Column:
