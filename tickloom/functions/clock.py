@@ -16,6 +16,7 @@ SCALE_MINUTES = {"5m": 5, "15m": 15, "60m": 60}
 DAY_SCALE = "day"
 SCALES = ("5m", "15m", "60m", "day")
 EXCHANGE_ZONE = "Asia/Kolkata"
+ZONE_SHIFT = "INTERVAL 330 MINUTES"  # the zone has had no daylight saving since 1945
 OPEN_MINUTE = 9 * 60 + 15
 CLOSE_MINUTE = 15 * 60 + 30
 SESSION_MINUTES = CLOSE_MINUTE - OPEN_MINUTE
@@ -85,7 +86,8 @@ def daily_open_to_close(ts: Column) -> Column:
 
 
 def exchange_time(ts: Column) -> Column:
-    return F.from_utc_timestamp(ts, EXCHANGE_ZONE)
+    """Exchange wall time as an instant; a constant shift stays cheap in generated code."""
+    return ts + F.expr(ZONE_SHIFT)
 
 
 def exchange_date(ts: Column) -> Column:
@@ -95,8 +97,7 @@ def exchange_date(ts: Column) -> Column:
 def exchange_instant(day: Column, minute_of_day: Column | int) -> Column:
     """UTC instant of a minute of the exchange day."""
     m = F.lit(minute_of_day) if isinstance(minute_of_day, int) else minute_of_day
-    local = day.cast("timestamp") + F.make_interval(mins=m)
-    return F.to_utc_timestamp(local, EXCHANGE_ZONE)
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400 + (m - 330) * 60)
 
 
 def exchange_minute(ts: Column) -> Column:

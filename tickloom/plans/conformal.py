@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.operators import ranking
+from tickloom.session import durable
 
 QUANTILES = ("q10", "q25", "q50", "q75", "q90")
 EPS = 1e-9          # fixed value: guard in the score denominators
@@ -40,9 +41,12 @@ def calibrate(df: DataFrame, *, by: Sequence[str] = ("horizon",), bucket: str =
     sizes = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n")).select(
         *by, bucket, F.when(F.col("_n") >= min_cell_size, F.col(bucket)).otherwise(F.lit(POOLED)).alias("cell"))
     rows = df.join(sizes, [*by, bucket]).withColumns(scores(y)).select(*cell, "s_cqr", "s_vanilla")
-    k = finite_sample_k(alpha)
-    cut = ranking.kth_smallest(rows, cell, "s_cqr", {"t_cqr": k}).join(
-        ranking.kth_smallest(rows, cell, "s_vanilla", {"t_vanilla": k}), cell)
+    # both scores are ordered in one pass, as two groups of a long table
+    long = rows.select(*cell, F.explode(F.array(F.struct(F.lit("cqr").alias("fn"), F.col("s_cqr").alias("s")),
+                                                F.struct(F.lit("vanilla").alias("fn"), F.col("s_vanilla").alias("s")))).alias("x"))
+    found = ranking.kth_smallest(long.select(*cell, "x.fn", "x.s"), [*cell, "fn"], "s", {"t": finite_sample_k(alpha)})
+    cut = found.groupBy(*cell).agg(F.max(F.when(F.col("fn") == "cqr", F.col("t"))).alias("t_cqr"),
+                                   F.max(F.when(F.col("fn") == "vanilla", F.col("t"))).alias("t_vanilla"))
     out = rows.join(cut, cell).groupBy(*cell, "t_cqr", "t_vanilla").agg(
         F.count(F.lit(1)).alias("n_calibration"),
         F.avg((F.col("s_cqr") <= F.col("t_cqr")).cast("double")).alias("_c1"),
@@ -92,8 +96,13 @@ def chronological_parts(df: DataFrame, *, by: Sequence[str] = ("horizon",), time
 def calibrate_and_score(df: DataFrame, *, by: Sequence[str] = ("horizon",), bucket: str = "vol_bucket",
                         time: str = "date", y: str = "y", alpha: float = 0.2, frac: float = 0.5,
                         min_cell_size: int = 1000) -> DataFrame:
-    """Calibrate on the earlier part, report coverage on the later part."""
-    parts = chronological_parts(df, by=by, time=time, frac=frac)
+    """Calibrate on the earlier part, report coverage on the later part.
+
+    The split rows feed several aggregations, so they are written to the checkpoint
+    folder once instead of being derived again for each.
+    """
+    keep = [*by, time, bucket, y, "q10", "q50", "q90"]
+    parts = durable(chronological_parts(df.select(*dict.fromkeys(keep)), by=by, time=time, frac=frac))
     cells = calibrate(parts.filter("part = 'cal'"), by=by, bucket=bucket, y=y, alpha=alpha, min_cell_size=min_cell_size)
     return coverage(bands(parts.filter("part = 'test'"), cells, by=by, bucket=bucket), by, y)
 

@@ -22,6 +22,8 @@ EPOCH_DAY = "1995-01-02"
 FIRST_SESSION = "1996-01-01"
 SLOTS = 75
 PRICE_TICKS = 100_000  # price ticks per unit
+DAY_SECONDS = 86_400
+OPEN_SECONDS = 13_500  # 03:45 UTC
 
 
 @functools.lru_cache(maxsize=64)
@@ -68,7 +70,7 @@ _BAR = ("symbol", "ts", "scale", "open", "high", "low", "close", "volume")
 def bars_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = brand_days(spark, sf_dir).filter(is_trading(F.col("d")))
     return days.select(
-        "symbol", (F.col("d").cast("timestamp") + F.expr("INTERVAL 10 HOURS")).alias("ts"),
+        "symbol", F.timestamp_seconds(F.unix_date("d").cast("long") * DAY_SECONDS + 36_000).alias("ts"),
         F.lit("day").alias("scale"), "open", "high", "low", "close", "volume")
 
 
@@ -77,8 +79,7 @@ def bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = F.floor(pos / SLOTS).cast("int")
     day = F.date_add(F.lit(FIRST_SESSION).cast("date"),
                      (F.floor(session / 5) * 7 + session % 5).cast("int"))
-    ts = (day.cast("timestamp") + F.expr("INTERVAL '03:45' HOUR TO MINUTE")
-          + F.make_interval(mins=(F.pmod(pos, F.lit(SLOTS)) * 5).cast("int")))
+    ts = F.timestamp_seconds(F.unix_date(F.col("_day")).cast("long") * DAY_SECONDS + OPEN_SECONDS + F.pmod(pos, F.lit(SLOTS)) * 300)
     return (brand_days(spark, sf_dir).withColumn("_day", day).filter(is_trading(F.col("_day")))
             .select("symbol", ts.alias("ts"), F.lit("5m").alias("scale"),
                     "open", "high", "low", "close", "volume"))
@@ -86,10 +87,8 @@ def bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coarser(bars: DataFrame, scale: str) -> DataFrame:
     """Longer intraday bars on the session grid (test tables only)."""
-    length = clock.SCALE_MINUTES[scale]
-    opened = F.date_trunc("day", "ts") + F.expr("INTERVAL '03:45' HOUR TO MINUTE")
-    slot = F.floor((F.unix_seconds("ts") - F.unix_seconds(opened)) / (60 * length)).cast("int")
-    start = opened + F.make_interval(mins=slot * length)
+    sec = F.unix_seconds("ts")
+    start = F.timestamp_seconds(sec - F.pmod(sec - OPEN_SECONDS, F.lit(60 * clock.SCALE_MINUTES[scale])))
     return (bars.withColumn("_s", start).groupBy("symbol", "_s").agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"),
         F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
