@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.plans import metrics
+from tickloom.session import durable
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -34,6 +35,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], *, label: str = "y_log_
 
 def fit_predict(parts: DataFrame, features: Sequence[str], **kw) -> tuple[DataFrame, list[tuple[str, float]]]:
     """Test rows with ``prediction``, and the fifty most important features."""
+    parts = durable(parts)  # many passes follow: derive the matrix once
     model = fit_trees(parts.filter("part = 'train'"), features, **kw)
     scored = model.transform(_assemble(parts.filter("part = 'test'"), features)).drop("features")
     imp = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))
