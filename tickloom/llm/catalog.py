@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "packing", "decontamination", "quality", "sharding", "chat")
+MODULES = ("line_dedup", "packing", "decontamination", "quality", "licenses", "sharding", "chat", "near_dedup")
 
 
 
