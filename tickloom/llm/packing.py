@@ -15,6 +15,7 @@ once each; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 import zlib
 
@@ -23,63 +24,71 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import table
 
-CAPACITY, PIECE, GROUP, END_ID = 1024, 256, 240, 0
-CACHE_WORDS = 200_000
+CAPACITY, PIECE, GROUP, END_ID = 1024, 256, 100, 0
+#: a group closes when its last window would be nearly full; this leaves differencing some room
+SLACK = (0.02, 0.15)
+CACHE_WORDS = 500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The vocabulary as ranks; the ids equal those of its tokenizers file (tested)."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+#: a space before a blank or at the end stays with what precedes it
+LOOSE = re.compile(r" (?=\s|\Z)")
+
+
 class WordEncoder:
-    """Ids of whole texts from a cache of words.
+    """Ids of whole texts, word by word, with a cache of words.
 
-    The tokenizer never joins across a lone space between two other characters, so a text may be
-    cut there and every word, with its leading space, encoded by itself. A text with other blanks
-    around a space keeps them inside its words.
+    The tokenizer starts a new piece at every space that a non-blank follows, so a text may be cut
+    there and every word be encoded by itself. A full cache keeps what it has.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import base64
+
+        import public_tokenizers
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        ids = self.encoding.encode_ordinary(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = split_words(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = list({w for w in words if w not in cache})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join([cache[w] for w in words])
-
-
-def split_words(text: str) -> list[str]:
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
-    words = [parts[0]] if parts[0] else []
-    words += [" " + p for p in parts[1:]]
-    if "  " not in text and not any(p[:1].isspace() or p[-1:].isspace() for p in parts) and parts[0] and parts[-1]:
-        return words
-    # runs of blanks: join a word to the one before wherever the space between them is not alone
+        if LOOSE.search(text):
+            parts = joined_loose(text)
+        else:
+            parts = text.split(" ")
+        cache, out = self.spaced, [self.word(parts[0])]
+        for p in parts[1:]:
+            got = cache.get(p)
+            if got is None:
+                got = self.word(" " + p)
+                if len(cache) < CACHE_WORDS:
+                    cache[p] = got
+            out.append(got)
+        return b"".join(out)
+
+
+def joined_loose(text: str) -> list[str]:
+    """Parts between the spaces that a non-blank follows."""
     out: list[str] = []
-    for w in words:
-        if out and (len(w) == 1 or w[1:2].isspace() or out[-1][-1:].isspace()):
-            out[-1] += w
+    for p in text.split(" "):
+        if out and (not p or p[0].isspace()):
+            out[-1] += " " + p
         else:
-            out.append(w)
+            out.append(p)
     return out
 
 
@@ -173,7 +182,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pie
                     k = min(piece, n - start)
                     pending.append((doc_id, start, k, n, ids[4 * start:4 * (start + k)]))
                     start += k
-                if len(pending) >= group:
+                slack = -sum(p[2] for p in pending) % capacity / capacity if len(pending) >= group else 1
+                if SLACK[0] <= slack <= SLACK[1] or len(pending) >= 3 * group:
                     yield flush()
             if full:
                 yield emit(full, full_at)
