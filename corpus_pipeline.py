@@ -1,7 +1,56 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return
+the columns of ``documents``. Rejected by the quality rules: gone. Repeated lines: cut from later documents
+(``n_chars`` follows the text). Near-duplicates: the least document of each class stays. Documents that hold
+a benchmark window: gone. The rest is packed.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontamination, line_dedup, near_dedup, packing, quality
+from tickloom.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs.select("doc_id", "text")).drop("ids")
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("near_dedup", near_duplicates),
+          ("decontamination", decontaminate), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: the quality model and the tokenizer have no SQL form; the stages are tested against brute force
 ORACLE_SQL = None
-QUERIES: dict = {}
+QUERIES = {"pipeline": (run, ORACLE_SQL)}

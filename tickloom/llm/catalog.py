@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "packing", "decontamination", "quality", "licenses", "sharding", "chat", "near_dedup")
+MODULES = ("line_dedup", "packing", "suffix_dedup", "decontamination", "lm_scoring", "quality", "licenses", "sharding",
+           "chat", "near_dedup")
 
 
 
