@@ -76,7 +76,7 @@ def dart_signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_
         name = np.zeros(n_docs * k, np.uint64)
         step = 0
         while len(s):
-            dart = B.mix(s + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            dart = B.mix(s + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
             rank = rank - np.log(((dart >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
             near = rank <= reach[d]
             s, d, p, rank, dart = s[near], d[near], p[near], rank[near], dart[near]
