@@ -1,3 +1,4 @@
+import os
 """Storage, vendor payloads, merges, corporate actions, pairs."""
 
 import datetime as dt
@@ -10,6 +11,7 @@ from conftest import as_rows
 from pyspark.sql import functions as F
 
 from tickloom.plans import backtest as bt, cohort as co, maintenance as mn
+from tickloom.plans import audit
 from tickloom.sources import dimensions as dm, store, vendor
 
 
@@ -28,7 +30,47 @@ def test_bar_store_round_trip(spark, bars_factory, tmp_path):
     with pytest.raises(ValueError):
         store.write_bars(bars.filter("false"), root)
     store.write_bars(bars.filter("symbol = 'AA'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 YEAR")), root)
-    assert store.open_bars(spark, root).count() == bars.count() + bars.filter("symbol = 'AA'").count()
+    # the whole series is replaced, in the years it leaves too; the others stay
+    assert store.open_bars(spark, root).count() == bars.count()
+    assert store.read_bars(spark, root, as_of="2024-12-31").filter("symbol = 'AA'").count() == 0
+
+
+def test_write_bars_keeps_other_symbols(spark, bars_factory, tmp_path):
+    root, bars = str(tmp_path / "bars"), bars_factory(symbols=("AA", "BB"))
+    store.write_bars(bars, root)
+    store.write_bars(bars.filter("symbol = 'AA'").limit(3), root, only=("5m", "AA"))
+    left = {r["symbol"]: r["count"] for r in store.open_bars(spark, root).groupBy("symbol").count().collect()}
+    assert left == {"AA": 3, "BB": bars.filter("symbol = 'BB'").count()}
+    with pytest.raises(ValueError):
+        store.write_bars(bars, root, only=("5m", "AA"))
+    assert store.open_bars(spark, root).count() == 3 + left["BB"]
+
+
+def test_published_reads_the_newest_whole_version(spark, bars_factory, tmp_path):
+    root, bars = str(tmp_path / "p"), bars_factory()
+    with pytest.raises(FileNotFoundError):
+        store.published(spark, root)
+    store.publish(bars, root)
+    second = store.publish(bars.filter("symbol = 'AA'"), root)
+    assert store.published(spark, root).count() == bars.filter("symbol = 'AA'").count()
+    os.remove(f"{second}/_SUCCESS")
+    assert as_rows(store.published(spark, root), "symbol", "ts") == as_rows(bars, "symbol", "ts")
+
+
+def test_only_an_absent_path_reads_as_empty(spark, bars_factory, tmp_path):
+    root = str(tmp_path / "bad")
+    bars_factory().withColumn("ts", F.lit("not a time")).write.partitionBy("scale").parquet(root)
+    assert store.open_bars(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        store.open_bars(spark, root).select("ts").collect()
+
+
+def test_freshness_far_from_the_calendar(spark, bars_factory):
+    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-02-29', INTERVAL 1 DAY)) AS trade_date").filter("weekday(trade_date) < 5")
+    bars = bars_factory(days=1, scale="day").withColumn("ts", F.lit("2024-01-05 10:00:00").cast("timestamp"))
+    for today in ("2024-03-20", "2024-06-20", "2034-01-01"):
+        row = audit.freshness(bars, days, today=F.lit(today).cast("date"), scales=("day",)).filter("check = 'bars_day'").first()
+        assert (row["got"], row["status"]) == (39, "STALE")
 
 
 def test_append_missing_is_idempotent(spark, bars_factory, tmp_path):

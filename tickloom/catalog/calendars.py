@@ -36,13 +36,14 @@ SHIFT_SQL = oracle(" UNION ALL ".join(
 def q_count(s, d):
     pairs = mv.table(s, d, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("start")).withColumn(
-        "end", F.date_add("start", (F.col("o_orderkey") % 60).cast("int")))
-    return td.count_between(pairs, mv.calendar(s, d), "start", "end", "n_days").filter("n_days IS NOT NULL")
+        "end", F.date_add("start", F.when(F.col("o_orderkey") % 7 == 0, 4000).otherwise((F.col("o_orderkey") % 60)).cast("int")))
+    return td.count_between(pairs, mv.calendar(s, d), "start", "end", "n_days")
 
 
-COUNT_SQL = oracle("""SELECT o_orderkey, s AS start, e AS "end", greatest(coalesce(b.idx, b.prev_idx, -1) - coalesce(a.prev_idx, -1), 0) AS n_days
-  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS e FROM orders) o
-  JOIN civ a ON a.day = s JOIN civ b ON b.day = e""", civ=CIVIL)
+COUNT_SQL = oracle("""SELECT o_orderkey, s AS start, e AS "end",
+  (SELECT count(*) FROM cal WHERE trade_date <= e) - (SELECT count(*) FROM cal WHERE trade_date < s) AS n_days
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE)
+    + CAST(CASE WHEN o_orderkey % 7 = 0 THEN 4000 ELSE o_orderkey % 60 END AS INTEGER) AS e FROM orders) o""")
 
 
 def q_folds(s, d):

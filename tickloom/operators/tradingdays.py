@@ -61,15 +61,27 @@ def navigation(days: DataFrame) -> DataFrame:
             .select("day", F.col("idx").isNotNull().alias("is_trading"), "next_day", "prev_day"))
 
 
-def count_between(pairs: DataFrame, days: DataFrame, start: str, end: str, name: str) -> DataFrame:
-    """Number of trading days in ``[start, end]`` for each row."""
-    c = civil_days(days)
-    upto = F.coalesce(F.col("idx"), F.col("prev_idx"), F.lit(-1))
-    before = F.coalesce(F.col("prev_idx"), F.lit(-1))
-    a = c.select(F.col("day").alias(start), before.alias("_lo"))
-    b = c.select(F.col("day").alias(end), upto.alias("_hi"))
+def days_up_to(dates: DataFrame, days: DataFrame) -> DataFrame:
+    """``day, upto, before``: trading days on or before each date, and before it, whatever the
+    date's distance from the calendar.  The window runs over distinct dates, which civil days bound."""
+    marks = dates.select("day", F.lit(0).alias("_t")).unionByName(
+        days.select(F.col("trade_date").alias("day"), F.lit(1).alias("_t"))).filter(F.col("day").isNotNull())
+    per = marks.groupBy("day").agg(F.max("_t").alias("_t"))
+    upto = F.sum("_t").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return per.select("day", upto.alias("upto"), (upto - F.col("_t")).alias("before"))
+
+
+def count_between(pairs: DataFrame, days: DataFrame, start: str, end: str, name: str, *, as_of: Column | None = None) -> DataFrame:
+    """Number of trading days in ``[start, end]`` for each row, not beyond ``as_of``; dates outside
+    the calendar count what the calendar has inside the range, a null date gives null."""
+    known = days.select("trade_date") if as_of is None else days.select("trade_date").filter(F.col("trade_date") <= as_of)
+    dates = pairs.select(F.col(start).alias("day")).unionByName(pairs.select(F.col(end).alias("day"))).distinct()
+    at = days_up_to(dates, known)
+    a = at.select(F.col("day").alias(start), F.col("before").alias("_lo"))
+    b = at.select(F.col("day").alias(end), F.col("upto").alias("_hi"))
     return (pairs.join(a, start, "left").join(b, end, "left")
-            .withColumn(name, F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)).cast("long")).drop("_lo", "_hi"))
+            .withColumn(name, F.when(F.col("_lo").isNotNull() & F.col("_hi").isNotNull(), F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)))
+                        .cast("long")).drop("_lo", "_hi"))
 
 
 def holidays(table: DataFrame, year: int | None = None) -> DataFrame:

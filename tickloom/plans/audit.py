@@ -26,9 +26,9 @@ def freshness(bars: DataFrame, days: DataFrame, *, today: Column, min_lead: int
     last = want.join(bars.groupBy("scale").agg(F.max("ts").alias("_ts")), "scale", "left").withColumns({
         "_from": F.date_add(F.to_date("_ts"), 1), "_to": today})
     n = tradingdays.count_between(last, days, "_from", "_to", "got")
-    per = n.select(F.concat(F.lit("bars_"), "scale").alias("check"), F.when(F.col("_ts").isNotNull(), F.coalesce("got", F.lit(0))).alias("got"),
+    per = n.select(F.concat(F.lit("bars_"), "scale").alias("check"), F.when(F.col("_ts").isNotNull(), F.col("got")).alias("got"),
                    F.lit(max_stale).cast("long").alias("limit"),
-                   F.when(F.col("_ts").isNull(), "FAIL").when(F.coalesce("got", F.lit(0)) <= max_stale, "OK").otherwise("STALE").alias("status"))
+                   F.when(F.col("_ts").isNull() | F.col("got").isNull(), "FAIL").when(F.col("got") <= max_stale, "OK").otherwise("STALE").alias("status"))
     return cal.unionByName(per)
 
 

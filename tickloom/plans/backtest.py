@@ -180,7 +180,7 @@ def path_exits(taken: DataFrame, bars: DataFrame, *, target: float, stop: float,
             grid = path.select("_bts").distinct().withColumn("_k", F.lit(0))
             anchors = scores.select(F.col("t").alias("_at")).distinct().withColumn("_k", F.lit(0))
             in_force = asof(grid, anchors, keys=["_k"], left_time="_bts", right_time="_at",
-                            payload={"_at": F.col("_at")}, strict=False).drop("_k")
+                            payload={"_at": F.col("_at")}, strict=False, bucket="day").drop("_k")
             joined = joined.join(in_force, "_bts", "left").join(ranks, ["symbol", "_at"], "left")
             limit = shapes.step_curve(list(curve), drift)
             code = code.when(F.col("_rank") > limit, "curve_exit")

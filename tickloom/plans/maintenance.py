@@ -154,8 +154,8 @@ def propose(segments: DataFrame, *, dividend_band: float, min_days: int = 3) ->
     return nxt.filter(F.col("_s").isNotNull()).withColumn("_r", ratio).filter(
         (F.abs(F.col("_r") - 1.0) > dividend_band) & (F.col("n_rows") >= min_days) & (F.col("_n") >= min_days)).select(
         "symbol", F.round("_r", 6).alias("ratio"), F.col("_s").alias("cutoff_date_ist"),
-        F.format_string("detected: ratio %.4f -> %.4f (boundary %s)", "median_ratio", "_m", F.col("_s").cast("string")).alias("event"),
-        F.lit("found by ratio segmentation; confirm before applying").alias("notes"))
+        F.format_string("level shift on %s: %.4f before, %.4f after", F.col("_s").cast("string"), "median_ratio", "_m").alias("event"),
+        F.lit("proposed from close ratios, not yet reviewed").alias("notes"))
 
 
 def ledger_key() -> Column:

@@ -49,12 +49,27 @@ def durable(df, eager: bool = True):
     """Cut lineage through reliable storage.
 
     The cluster's ``spark.checkpoint.dir`` is used when set; a private folder is
-    chosen only when the session names none (tests).
+    chosen only where the session names none and runs in one JVM (tests).
     """
     import tempfile
 
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not checkpoint_dir(spark) and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(checkpoint_dir(spark) or tempfile.mkdtemp(prefix="tickloom-ckpt-"))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``."""
+    import tempfile
+    import uuid
+
+    base = checkpoint_dir(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-")
+    return f"{base.rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"

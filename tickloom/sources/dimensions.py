@@ -52,10 +52,14 @@ def with_sector_ids(master: DataFrame) -> DataFrame:
     return master.withColumn("_s", sec).join(ids, "_s").drop("_s")
 
 
-def universe(master: DataFrame | None, bars: DataFrame) -> DataFrame:
-    """Master symbols with stored day bars; without a master, every symbol stored at day scale."""
+def universe(master: DataFrame | None, bars: DataFrame, strict: bool = False) -> DataFrame:
+    """Master symbols with stored day bars; without a master, every symbol stored at day scale.
+    ``strict`` raises where nothing is left."""
     stored = bars.filter(F.col("scale") == "day").select("symbol").distinct()
-    return stored if master is None else master.select("symbol").distinct().join(stored, "symbol", "left_semi")
+    found = stored if master is None else master.select("symbol").distinct().join(stored, "symbol", "left_semi")
+    if strict and found.isEmpty():
+        raise ValueError("empty universe: no master symbol has stored day bars")
+    return found
 
 
 def adjustments(spark: SparkSession, entries: Iterable[dict]) -> DataFrame:

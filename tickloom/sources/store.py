@@ -36,35 +36,67 @@ def check_bars(df: DataFrame) -> DataFrame:
                    F.lit(0)).alias("null_keys"))
 
 
-def write_bars(df: DataFrame, root: str, *, mode: str = "overwrite", files: int | None = None,
-               max_rows_per_file: int = 20_000_000, validate: bool = True) -> None:
-    """Write bars; only the (scale, year) directories present in ``df`` are replaced."""
+def write_bars(df: DataFrame, root: str, *, files: int | None = None, max_rows_per_file: int = 20_000_000,
+               validate: bool = True, only: tuple[str, str] | None = None) -> None:
+    """Replace the (scale, symbol) series that ``df`` holds; every other stored series stays.
+
+    Only (scale, year) directories that the replaced series touch are rewritten.  With ``only`` =
+    (scale, symbol), rows of any other series are refused.  The input is staged once beside the
+    table, checked there, and then swapped in.
+    """
     missing = [c for c in BAR_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"bars: missing columns {missing}")
-    out = clock.to_utc(df.select(*BAR_COLUMNS))
+    spark = df.sparkSession
+    staged_at = f"{root.rstrip('/')}.staged"
+    clock.to_utc(df.select(*BAR_COLUMNS)).write.mode("overwrite").parquet(staged_at)
+    out = spark.read.parquet(staged_at)
     if validate:
         bad = check_bars(out).first().asDict()
         if not bad.pop("n_rows"):
             raise ValueError("refusing to write an empty bar table")
         if any(bad.values()):
             raise ValueError(f"bars break the table contract: {bad}")
+        if only and not out.filter((F.col("scale") != only[0]) | (F.col("symbol") != only[1])).isEmpty():
+            raise ValueError(f"rows of another series than {only}")
     out = out.withColumn("year", F.year("ts"))
+    have = open_bars(spark, root)
+    series = out.select("scale", "symbol").distinct()
+    old = have.join(series, ["scale", "symbol"], "left_semi").select("scale", "year").distinct()
+    touched = old.unionByName(out.select("scale", "year").distinct()).distinct()
+    kept = have.join(touched, ["scale", "year"], "left_semi").join(series, ["scale", "symbol"], "left_anti")
+    new = out.unionByName(kept.select(*out.columns))
+    # directories that lose their only series: few, as there is one per scale and year
+    emptied = old.join(new.select("scale", "year").distinct(), ["scale", "year"], "left_anti").collect()
     cols = ("scale", "year", "symbol", "ts")
-    ranged = out.repartitionByRange(files, *cols) if files else out.repartitionByRange(*cols)
-    (ranged.sortWithinPartitions(*cols).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    ranged = new.repartitionByRange(files, *cols) if files else new.repartitionByRange(*cols)
+    (ranged.sortWithinPartitions(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "zstd").option("maxRecordsPerFile", max_rows_per_file)
      .partitionBy("scale", "year").parquet(root))
+    for r in emptied:
+        remove(spark, f"{root.rstrip('/')}/scale={r['scale']}/year={r['year']}")
+    remove(spark, staged_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def absent(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
 
 
 def open_bars(spark: SparkSession, root: str) -> DataFrame:
-    """Every stored bar; an absent table is an empty one of the same type."""
+    """Every stored bar; an absent table is an empty one of the same type, any other failure is raised."""
     schema = T.StructType([*[f for f in BAR_SCHEMA.fields if f.name != "scale"],
                            T.StructField("scale", T.StringType()), T.StructField("year", T.IntegerType())])
     try:
         return spark.read.schema(schema).parquet(root)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if absent(e):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def read_bars(spark: SparkSession, root: str, *, as_of, scale: str | None = None, symbols: Sequence[str] = (),
@@ -87,14 +119,20 @@ def scan(bars: DataFrame, *, as_of, scale: str | None = None, symbols: Sequence[
         out = out.filter(F.col("symbol").isin(*symbols))
     if start is not None:
         out = out.filter(F.col("ts") >= clock.as_instant(start))
+        if "year" in bars.columns:
+            out = out.filter(F.col("year") >= F.year(clock.as_instant(start)))
     if end is not None:
         out = out.filter(F.col("ts") <= clock.as_instant(end))
+        if "year" in bars.columns:
+            out = out.filter(F.col("year") <= F.year(clock.as_instant(end)))
     return out
 
 
 def cross_section(bars: DataFrame, *, scale: str, ts, as_of) -> DataFrame:
     """All symbols at one instant; empty while the bar is still open at ``as_of``."""
     at = clock.as_instant(ts)
+    if "year" in bars.columns:
+        bars = bars.filter(F.col("year") == F.year(at))
     return bars.filter((F.col("scale") == scale) & (F.col("ts") == at)
                        & (clock.effective_close_of(scale, "ts") <= clock.as_instant(as_of)))
 
@@ -146,7 +184,9 @@ def append_missing(df: DataFrame, root: str, keys: Sequence[str], partition: Seq
     spark = df.sparkSession
     try:
         have = spark.read.parquet(root)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not absent(e):
+            raise
         have = None
     if have is not None and not set(df.columns) <= set(have.columns):
         raise ValueError(f"stored table at {root} lacks columns {sorted(set(df.columns) - set(have.columns))}")
@@ -204,5 +244,21 @@ def publish(df: DataFrame, root: str, keep: Column | None = None) -> str:
     import time
 
     path = f"{root.rstrip('/')}/v={int(time.time() * 1000)}"
-    (df if keep is None else df.filter(keep)).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    out = df if keep is None else df.filter(keep)
+    w = out.write.mode("errorifexists").option("compression", "zstd")
+    (w.partitionBy("scale", "year") if {"scale", "year"} <= set(out.columns) else w).parquet(path)
     return path
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The newest whole version under ``root``; versions without a success mark were interrupted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no published table at {root}")
+    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("v=")]
+    whole = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not whole:
+        raise FileNotFoundError(f"no whole version at {root}")
+    newest = max(whole, key=lambda p: int(p.getName()[2:])).toString()
+    return spark.read.option("basePath", newest).parquet(newest)
