@@ -52,18 +52,32 @@ def test_asof(spark, strict, bucket):
         assert got[i] == (max(fit)[1] if fit else None)
 
 
+def test_pool_parts_stay_even_under_outliers(spark):
+    rng = np.random.default_rng(8)
+    odd = [1e18, float("inf"), float("-inf"), float("nan"), -1e300]
+    df = spark.createDataFrame([(float(v),) for v in [*rng.normal(size=20_000), *odd]], "v double").withColumn("g", F.lit("all"))
+    ranking.PARTS = 40
+    try:
+        parts = [r["count"] for r in ranking.layout(df, ["g"], "v", {}).groupBy("_part").count().collect()]
+        top = ranking.value_positions(df, [], "v").orderBy(F.col("before").desc()).limit(3).collect()
+    finally:
+        ranking.PARTS = None
+    assert len(parts) == 40 and max(parts) < 3 * 20_005 / 40
+    assert [r["before"] for r in top] == [20_004, 20_003, 20_002] and top[1]["v"] == float("inf") and top[0]["v"] != top[0]["v"]
+
+
 def test_pool_order_statistics(spark):
     rng = np.random.default_rng(5)
     big = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.normal(size=10) * 1e6])
     rows = [("hot", float(v)) for v in big] + [("small", float(v)) for v in rng.normal(size=7)]
     df = spark.createDataFrame(rows, "g string, v double")
-    ranking_bins, ranking.BIN_VALUES = ranking.BIN_VALUES, 50
+    ranking.PARTS = 20
     try:
         q = {r["g"]: r for r in ranking.pool_quantiles(df, ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.95, "d": 1.0}).collect()}
         k = {r["g"]: r["x"] for r in ranking.kth_smallest(df, ["g"], "v", {"x": F.ceil(F.col("total") * 0.8)}).collect()}
         pr = ranking.pool_average_rank(df, ["g"], "v", "r").toPandas()
     finally:
-        ranking.BIN_VALUES = ranking_bins
+        ranking.PARTS = None
     for g in ("hot", "small"):
         v = np.array([x for gg, x in rows if gg == g])
         assert np.allclose([q[g][c] for c in "abcd"], np.quantile(v, [0, 0.37, 0.95, 1]))

@@ -6,9 +6,10 @@ Two families:
   at most one row per symbol, so an ordinary window is enough.
 * **Pool** helpers work on groups that grow with the table (a horizon, a
   volatility bucket, everything).  They never sort a group in one task: rows
-  collapse to distinct values first, values are cut into ordered bins by the
-  group's min and max (both independent of row order, so re-runs agree), and
-  positions are bin offsets plus a running count inside the bin.
+  collapse to distinct values first, these are range-partitioned by measured
+  quantiles (so outliers and heavy tails leave the parts even), and
+  positions are part offsets plus a running count inside the part.  The layout is
+  stored once, so it is derived once and later steps agree on it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: distinct values aimed at per ordering task
-BIN_VALUES = 100_000
+from tickloom.session import stored
+
+#: parts to range-partition into; None leaves it to the session's shuffle partitions
+PARTS: int | None = None
 
 
 # ---------------------------------------------------------------- cross-section
@@ -89,37 +92,37 @@ def first_per(df: DataFrame, keys: Sequence[str], order: str | Column, last: boo
 
 # ------------------------------------------------------------------------- pools
 
-def value_positions(df: DataFrame, by: Sequence[str], value: str,
-                    sums: dict[str, Column] | None = None,
-                    bin_values: int = BIN_VALUES) -> DataFrame:
+def layout(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """Distinct values per group with counts and sums, stored in parts (``_part``) of even size and ascending order."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    order = [*by, value]
+    ranged = cells.repartitionByRange(PARTS, *order) if PARTS else cells.repartitionByRange(*order)
+    return stored(ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "positions")
+
+
+def value_positions(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per (group, distinct value) with its place in the group's order.
 
     Output: ``by``, ``value``, ``cnt`` rows at the value, ``before`` rows below it,
     ``total`` rows in the group, and for every entry of ``sums`` its sum at the
-    value, below it (``before_*``) and over the group (``total_*``).
+    value, below it (``before_*``) and over the group (``total_*``).  Null values are
+    left out; NaN orders last.
     """
     if not by:
-        whole = value_positions(df.withColumn("_all", F.lit(0)), ["_all"], value, sums, bin_values)
-        return whole.drop("_all")
+        return value_positions(df.withColumn("_all", F.lit(0)), ["_all"], value, sums).drop("_all")
     sums = sums or {}
-    names = ["cnt", *sums]
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value)).agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    span = cells.groupBy(*by).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_k"),
-        *[F.sum(n).alias(f"total_{n}") for n in names])
-    joined = cells.join(span, list(by))
-    bins = F.ceil(F.col("_k") * 4 / F.lit(bin_values))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(bins - 1, F.floor(
-        (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
-    binned = joined.withColumn("_bin", place)
-    per_bin = binned.groupBy(*by, "_bin").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
-    prior = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.select(*by, "_bin", *[
-        F.coalesce(F.sum(f"_b_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
-    inside = (Window.partitionBy(*by, "_bin").orderBy(value)
+    names, laid = ["cnt", *sums], layout(df, by, value, sums)
+    # a part is a contiguous range, so there are at most as many rows as groups and parts together
+    per_part = laid.groupBy(*by, "_part").agg(*[F.sum(n).alias(f"_p_{n}") for n in names])
+    group = Window.partitionBy(*by)
+    prior = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(*by, "_part", *[
+        F.coalesce(F.sum(f"_p_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names], *[
+        F.sum(f"_p_{n}").over(group).alias(f"total_{n}") for n in names])
+    inside = (Window.partitionBy(*by, "_part").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    out = binned.join(offsets, [*by, "_bin"]).withColumns({
+    out = laid.join(offsets, [*by, "_part"]).withColumns({
         f"before_{n}": F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))
         for n in names})
     return (out.withColumnRenamed("before_cnt", "before").withColumnRenamed("total_cnt", "total")

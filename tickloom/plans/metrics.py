@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.operators import ranking
+from tickloom.session import stored
 
 
 def rank_ic_by_group(df: DataFrame, by: Sequence[str] = ("t",), pred: str = "pred_lr",
@@ -54,8 +55,8 @@ def pooled_ic(df: DataFrame, by: Sequence[str] = ("horizon",), pred: str = "pred
     if group:
         wide = df.groupBy(*by, *group).agg(F.count(F.lit(1)).alias("_w")).filter(F.col("_w") >= min_group)
         df = df.join(wide.drop("_w"), [*by, *group], "left_semi")
-    ranked = ranking.pool_average_rank(
-        ranking.pool_average_rank(df.select(*by, pred, real), by, pred, "_rp"), by, real, "_rr")
+    pairs = stored(df.select(*by, pred, real), "pairs")
+    ranked = ranking.pool_average_rank(ranking.pool_average_rank(pairs, by, pred, "_rp"), by, real, "_rr")
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rp", "_rr").alias("_ic"))
     return out.select(*by, "n", F.when(F.col("n") >= min_rows, F.coalesce(F.nanvl("_ic", F.lit(0.0)), F.lit(0.0))).alias("ic"))
 

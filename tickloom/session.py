@@ -73,3 +73,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tickloom-")
     return f"{base.rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df, name: str):
+    """Write once to the shared folder and read back: one derivation, however often it is used."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
