@@ -202,8 +202,9 @@ def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THR
             break
         tried, links = tried.unionByName(fresh), links.unionByName(new)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
-    known = sigs.select("did", "t1", "t2").join(reps.select("t1", "t2", "rep"), ["t1", "t2"])
-    return known.join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left").select(
+    # classes are settled by text before copies come in, so a large group of copies meets one plain join
+    by_text = reps.select("t1", "t2", "rep").join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")
+    return sigs.select("did", "t1", "t2").join(by_text, ["t1", "t2"]).select(
         "did", "rep", F.coalesce("c", "rep").alias("class_did"), F.coalesce("count", F.lit(0)).alias("n_links"))
 
 
