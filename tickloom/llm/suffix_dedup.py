@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bytesops as B
-from tickloom.llm.common import doc_order, doc_text, partitions, stored, table
+from tickloom.llm.common import doc_order, doc_text, partitions, stored, table, tidy
 
-LENGTH, SEED, FLUSH, HOT = 50, 24, 1 << 21, 20_000
+LENGTH, SEED, FLUSH, HELD, HOT = 50, 24, 1 << 21, 200_000, 20_000
+NAMES = ["cx", "mh", "ctx", "lo", "hi", "tid", "at"]
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -60,14 +61,18 @@ def minimizers(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
 
 
 def seed_hashes(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, hashes, tids) of each task's distinct minimizers, one text each; (null, hashes, tids) of those
-    that two of its texts hold."""
+    """(bucket, h, t, tids) of each task's distinct minimizers, one text each. Those that two of
+    its texts hold are known to be shared: they go, under a negative bucket, straight to their texts."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        serial = TaskContext.get().partitionId() * 1000
         hold_h, hold_t, size = [], [], 0
 
         def flush():
-            nonlocal hold_h, hold_t, size
+            nonlocal hold_h, hold_t, size, serial
+            serial += 1
             h, t = np.concatenate(hold_h), np.concatenate(hold_t)
             hold_h, hold_t, size = [], [], 0
             order = np.lexsort((t, h))
@@ -79,16 +84,18 @@ def seed_hashes(texts: DataFrame, buckets: int) -> DataFrame:
             first[1:] = h[1:] != h[:-1]
             many = ~first
             many[:-1] |= ~first[1:]
-            sure_h, sure_t = h[many], t[many]
+            parts = [(-serial, h[many], t[many])] if many.any() else []
             h, t = h[first], t[first]
             cut = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
             cut = np.concatenate([[0], cut, [len(h)]])
-            rows = [(b, h[x:y].tobytes(), t[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-            if len(sure_h):
-                rows.append((None, sure_h.tobytes(), sure_t.tobytes()))
-            cols = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-                                              ["bucket", "h", "t"])
+            parts += [(b, h[x:y], t[x:y]) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+            rows = []
+            for b, h, t in parts:
+                tids, local = np.unique(t, return_inverse=True)
+                rows.append((b, planes(h), planes(local.astype(np.uint16 if len(tids) < 1 << 16 else np.uint32)), tids.tobytes()))
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                                              ["bucket", "h", "t", "tids"])
 
         for batch in batches:
             tids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -109,43 +116,61 @@ def seed_hashes(texts: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return texts.select("tid", "text").mapInArrow(run, "bucket int, h binary, t binary")
+    return texts.select("tid", "text").mapInArrow(run, "bucket int, h binary, t binary, tids binary")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, ...: neighbours in order share the upper ones, so this compresses."""
+    return bytes([x.itemsize]) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def flat(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8)
+    size = int(raw[0])
+    return np.ascontiguousarray(raw[1:].reshape(size, -1).T).view(f"u{size}").ravel()
 
 
 def shared_seeds(seeds: DataFrame) -> DataFrame:
     """(tid, h): per text the minimizers that another text holds too, as bytes."""
-    schema = "tid long, h binary"
 
-    def by_text(h, t):
+    def merge(key, rows):
+        rows = rows.to_pylist()
+        h = np.concatenate([flat(r["h"]) for r in rows])
+        t = np.concatenate([np.frombuffer(r["tids"], np.int64)[flat(r["t"])] for r in rows])
+        if key[0].as_py() >= 0:
+            order = np.lexsort((t, h))
+            h, t = h[order], t[order]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            ends = np.append(starts[1:], len(h))
+            several = np.repeat(t[starts] != t[ends - 1], ends - starts)
+            h, t = h[several], t[several]
         order = np.argsort(t, kind="stable")
         h, t = h[order], t[order]
         ids, first = np.unique(t, return_index=True)
         ends = np.append(first, len(t))
-        return [pa.array(ids, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())]
+        return pa.table([pa.array(ids, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["tid", "h"])
 
-    def sure(batches):
-        for batch in batches:
-            for h, t in zip(*[c.to_pylist() for c in batch.columns]):
-                yield pa.RecordBatch.from_arrays(by_text(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int64)), ["tid", "h"])
-
-    def merge(key, rows):
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("h")])
-        t = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("t")])
-        order = np.lexsort((t, h))
-        h, t = h[order], t[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        ends = np.append(starts[1:], len(h))
-        several = np.repeat(t[starts] != t[ends - 1], ends - starts)
-        return pa.table(by_text(h[several], t[several]), ["tid", "h"])
-
-    return seeds.where("bucket is null").select("h", "t").mapInArrow(sure, schema).unionByName(
-        seeds.where("bucket is not null").groupBy("bucket").applyInArrow(merge, schema))
+    return seeds.groupBy("bucket").applyInArrow(merge, "tid long, h binary")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(mh, ctx, did, tid, at): maximal runs of strings that share one occurrence of a shared minimizer."""
+    """Maximal runs of strings that share one occurrence of a shared minimizer, as two kinds of rows:
+    (cx, mh, ctx, lo, hi) for each distinct context of a task's flush with its least and greatest document, and
+    (cx, tid, at) for each occurrence."""
 
     def run(batches):
+        held: dict[bytes, list] = {}
+
+        def flush():
+            rows = [(cx, mh, ctx, lo, hi) for ctx, (cx, mh, lo, hi) in held.items()]
+            held.clear()
+            for k in range(0, len(rows), 20_000):
+                cx, mh, ctx, lo, hi = zip(*rows[k:k + 20_000])
+                n = len(cx)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cx, pa.int64()), pa.array(mh, pa.int64()), pa.array(ctx, pa.binary()), pa.array(lo, pa.int64()),
+                     pa.array(hi, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], NAMES)
+
         for batch in batches:
             tids, dids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for i, j, data, bounds in B.text_slices(batch.column(2)):
@@ -155,8 +180,8 @@ def contexts(texts: DataFrame) -> DataFrame:
                 where = np.arange(len(h))
                 where = sliding(where, LENGTH - SEED + 1, lambda a, b: np.where(h[b] < h[a], b, a))
                 salt = lambda hashes, d: B.mix(hashes + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                held = [np.frombuffer(b"".join(x or ()), np.uint64) for x in batch.column(3)[i:j].to_pylist()]
-                wanted = np.unique(salt(np.concatenate(held), np.repeat(np.arange(j - i), [len(x) for x in held])))
+                seeds = [np.frombuffer(b"".join(x or ()), np.uint64) for x in batch.column(3)[i:j].to_pylist()]
+                wanted = np.unique(salt(np.concatenate(seeds), np.repeat(np.arange(j - i), [len(x) for x in seeds])))
                 doc = np.searchsorted(bounds, np.arange(len(low)), "right") - 1
                 key = salt(low, doc)
                 at = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
@@ -167,15 +192,24 @@ def contexts(texts: DataFrame) -> DataFrame:
                 new[1:] = (use[1:] != use[:-1] + 1) | (where[use[1:]] != where[use[:-1]])
                 a = use[new]
                 b = use[np.append(np.flatnonzero(new)[1:], len(use)) - 1]
+                cx = B.SpanHash(data)(a, b + LENGTH).view(np.int64)
                 d = doc[a]
-                raw = data.tobytes()
-                for lo in range(0, len(a), 20_000):
-                    s = slice(lo, lo + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(low[a[s]].view(np.int64)), pa.array([raw[x:y + LENGTH] for x, y in zip(a[s], b[s])], pa.binary()),
-                         pa.array(dids[i:j][d[s]]), pa.array(tids[i:j][d[s]]), pa.array(a[s] - bounds[d[s]])], ["mh", "ctx", "did", "tid", "at"])
-
-    return texts.select("tid", "did", "text", "seeds").mapInArrow(run, "mh long, ctx binary, did long, tid long, at long")
+                raw, n = data.tobytes(), len(a)
+                for x, y, c, m, who in zip(a.tolist(), b.tolist(), cx.tolist(), low[a].view(np.int64).tolist(), dids[i:j][d].tolist()):
+                    got = held.setdefault(raw[x:y + LENGTH], [c, m, who, who])
+                    if who < got[2]:
+                        got[2] = who
+                    elif who > got[3]:
+                        got[3] = who
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cx), none, pa.nulls(n, pa.binary()), none, none, pa.array(tids[i:j][d]),
+                                                  pa.array((a - bounds[d]).astype(np.int32))], NAMES)
+                if len(held) >= HELD:
+                    yield from flush()
+        yield from flush()
+
+    return texts.select("tid", "did", "text", "seeds").mapInArrow(
+        run, "cx long, mh long, ctx binary, lo long, hi long, tid long, at int")
 
 
 def two_stage(t: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = LENGTH):
@@ -224,52 +258,65 @@ def two_stage(t: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = L
 
 
 def earliest(key, rows):
-    """For each context the least document of every string that starts in it."""
-    ctx, did = rows.column("ctx").to_pylist(), rows.column("did").to_numpy()
+    """(cx, first): for each context of a group the least document of every string that starts in it,
+    where some other document of the context comes later."""
+    merged: dict[bytes, list] = {}
+    for cx, mh, ctx, lo, hi in zip(*[rows.column(c).to_pylist() for c in ("cx", "mh", "ctx", "lo", "hi")]):
+        got = merged.setdefault(ctx, [cx, mh, lo, hi])
+        got[2], got[3] = min(got[2], lo), max(got[3], hi)
+    ctx = list(merged)
+    cx, mh, lo, hi = (np.array(x, np.int64) for x in zip(*merged.values()))
+    # a minimizer that one document holds alone repeats nothing
+    _, at = np.unique(mh, return_inverse=True)
+    low, high = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, at, lo)
+    np.maximum.at(high, at, hi)
+    apart = np.flatnonzero((low < high)[at])
+    if not len(apart):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], ["cx", "first"])
+    ctx, cx, lo, hi = [ctx[i] for i in apart], cx[apart], lo[apart], hi[apart]
     t = np.frombuffer(b"".join(ctx), np.uint8)
     size = np.array([len(x) for x in ctx], np.int64)
     end = np.cumsum(size)
     begin = end - size
     sa, lcp = two_stage(t, begin, end)
-    owner = did[np.searchsorted(begin, sa, "right") - 1]
+    owner = lo[np.searchsorted(begin, sa, "right") - 1]
     starts = np.concatenate([[0], np.flatnonzero(lcp < LENGTH) + 1])
-    low = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(sa))))
     least = np.empty(len(t), np.int64)
-    least[sa] = low
-    first = pa.array([least[a:b - LENGTH + 1] for a, b in zip(begin, end)], pa.list_(pa.int64()))
-    return pa.table([rows.column("mh"), rows.column("cx"), first], ["mh", "cx", "first"])
+    least[sa] = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(sa))))
+    first = [least[a:b - LENGTH + 1] for a, b in zip(begin, end)]
+    later = [i for i, f in enumerate(first) if f.min() < hi[i]]
+    return pa.table([pa.array(cx[later]), pa.array([first[i] for i in later], pa.list_(pa.int64()))], ["cx", "first"])
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts with did, rep, tid, n_bytes, sha and, where something may go, text; spans by tid)."""
+    """(texts with did, rep, tid, n_bytes, sha and, where something may go, text; marks by tid)."""
     spark = docs.sparkSession
     base = docs.select(doc_order().alias("did"), F.xxhash64(doc_text()).alias("tid"), doc_text().alias("text"))
-    seeds = stored(seed_hashes(base, partitions(spark)), "seeds")
-    held = shared_seeds(seeds).groupBy("tid").agg(F.collect_list("h").alias("seeds"))
+    held = shared_seeds(seed_hashes(base, partitions(spark))).groupBy("tid").agg(F.collect_list("h").alias("seeds"))
     reps = base.groupBy("tid").agg(F.min("did").alias("rep"))
     known = stored(reps.join(held, "tid", "left"), "known")
+    tidy(spark)
     joined = base.join(known, "tid").withColumn("n_bytes", F.octet_length("text").cast("long"))
     open_ = (F.col("did") == F.col("rep")) & F.col("seeds").isNotNull()
     texts = stored(joined.select("did", "rep", "tid", "n_bytes", F.when(open_, F.lit(None)).otherwise(F.sha2("text", 256)).alias("sha"),
                                  F.when(open_, F.col("text")).alias("text"), F.when(open_, F.col("seeds")).alias("seeds")), "texts")
-    found = stored(contexts(texts.where("text is not null")).withColumn("cx", F.xxhash64("ctx")), "contexts")
-    distinct = stored(found.groupBy("mh", "ctx").agg(F.min("did").alias("did"), F.max("did").alias("hi"), F.first("cx").alias("cx")), "distinct")
-    many = distinct.groupBy("mh").agg(F.count("*").alias("n"), (F.min("did") < F.max("hi")).alias("apart"))
-    # a minimizer that one document holds alone repeats nothing; distinct contexts may all be of one text
-    spread = many.where("apart")
-    distinct = distinct.drop("hi")
-    cold = distinct.join(spread.where(F.col("n") <= HOT).select("mh"), "mh")
-    hot = distinct.join(spread.where(F.col("n") > HOT).select("mh"), "mh")
-    groups = partitions(spark) * 4
-    sort = "mh long, cx long, first array<long>"
-    first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, sort)
-    strings = hot.select("mh", "cx", "did", F.posexplode(F.transform(
+    tidy(spark)
+    found = stored(contexts(texts.where("text is not null")), "contexts")
+    distinct = found.where("ctx is not null").select("cx", "mh", "ctx", "lo", "hi")
+    many = distinct.groupBy("mh").count().where(F.col("count") > HOT).select("mh")
+    cold, hot = distinct.join(many, "mh", "left_anti"), distinct.join(many, "mh", "left_semi")
+    groups = partitions(spark) * 2
+    first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, first array<long>")
+    strings = hot.groupBy("cx").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo")).select("cx", "lo", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("ctx") - LENGTH + 1), lambda k: F.substring("ctx", k, F.lit(LENGTH)))).alias("k", "s"))
-    least = strings.groupBy("s").agg(F.min("did").alias("low"))
-    hot_first = strings.join(least, "s").groupBy("mh", "cx").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("first"))
-    first = stored(first.unionByName(hot_first).where(F.size("first") > 0), "first")
-    marks = found.select("mh", "cx", "did", "tid", "at").join(first, ["mh", "cx"]).where(F.array_min("first") < F.col("did"))
-    return texts, marks.select("tid", "did", "at", "first").groupBy("tid").agg(F.collect_list(F.struct("at", "first")).alias("marks"))
+    least = strings.groupBy("s").agg(F.min("lo").alias("low"))
+    hot_first = strings.join(least, "s").groupBy("cx").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("first"))
+    first = stored(first.unionByName(hot_first), "first")
+    tidy(spark)
+    marks = found.where("tid is not null").select("cx", "tid", "at").join(first, "cx")
+    return texts, marks.groupBy("tid").agg(F.collect_list(F.struct("at", "first")).alias("marks"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
