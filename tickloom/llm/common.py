@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,20 @@ NO_ID = 2**63 - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send the package to the workers where neither their path nor their folder holds it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if root in map(os.path.abspath, known) or getattr(sc, "_tickloom_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tickloom-code-"), "tickloom"), "zip", root, "tickloom")
+    sc.addPyFile(archive)
+    sc._tickloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,8 +59,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
         base = tempfile.mkdtemp(prefix="tickloom-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tickloom-llm/{name}-{uuid.uuid4().hex}"
