@@ -68,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared Parquet and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

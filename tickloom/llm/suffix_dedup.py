@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bytesops as B
-from tickloom.llm.common import doc_order, doc_text, partitions, stored, table, tidy
+from tickloom.llm.common import doc_order, doc_text, partitions, released, stored, table, tidy
 
 LENGTH, SEED, FLUSH, HELD, HOT = 50, 24, 1 << 21, 200_000, 20_000
 NAMES = ["cx", "mh", "ctx", "lo", "hi", "tid", "at"]
@@ -301,10 +301,13 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = (F.col("did") == F.col("rep")) & F.col("seeds").isNotNull()
     texts = stored(joined.select("did", "rep", "tid", "n_bytes", F.when(open_, F.lit(None)).otherwise(F.sha2("text", 256)).alias("sha"),
                                  F.when(open_, F.col("text")).alias("text"), F.when(open_, F.col("seeds")).alias("seeds")), "texts")
+    released(spark, known)
     tidy(spark)
     found = stored(contexts(texts.where("text is not null")), "contexts")
     distinct = found.where("ctx is not null").select("cx", "mh", "ctx", "lo", "hi")
-    many = distinct.groupBy("mh").count().where(F.col("count") > HOT).select("mh")
+    # stored, so its size is known: as a rule it is empty and needs no shuffle of the contexts
+    many = stored(distinct.groupBy("mh").count().where(F.col("count") > HOT).select("mh"), "hot")
+    tidy(spark)
     cold, hot = distinct.join(many, "mh", "left_anti"), distinct.join(many, "mh", "left_semi")
     groups = partitions(spark) * 2
     first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, first array<long>")
@@ -315,8 +318,11 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("first"))
     first = stored(first.unionByName(hot_first), "first")
     tidy(spark)
-    marks = found.where("tid is not null").select("cx", "tid", "at").join(first, "cx")
-    return texts, marks.groupBy("tid").agg(F.collect_list(F.struct("at", "first")).alias("marks"))
+    marks = stored(found.where("tid is not null").select("cx", "tid", "at").join(first, "cx")
+                   .groupBy("tid").agg(F.collect_list(F.struct("at", "first")).alias("marks")), "marks")
+    released(spark, found, first, many)
+    tidy(spark)
+    return texts, marks
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
