@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: a missing doc_id orders after every real one; all rows without an id count as one document
 NO_ID = 2**63 - 1
+#: bytes of an Arrow batch; a task holds a few copies of one batch at a time
+BATCH_BYTES = "16m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +32,7 @@ def shipped(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shipped(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
