@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import bytesops as B
 from tickloom.llm.common import doc_order, doc_text, partitions, released, stored, table, tidy
 
-LENGTH, SEED, FLUSH, HELD, HOT = 50, 24, 1 << 21, 200_000, 20_000
+LENGTH, SEED, FLUSH, HELD, HOT = 50, 24, 1 << 19, 40_000, 20_000
 NAMES = ["cx", "mh", "ctx", "lo", "hi", "tid", "at"]
 
 
@@ -309,7 +309,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = stored(distinct.groupBy("mh").count().where(F.col("count") > HOT).select("mh"), "hot")
     tidy(spark)
     cold, hot = distinct.join(many, "mh", "left_anti"), distinct.join(many, "mh", "left_semi")
-    groups = partitions(spark) * 2
+    groups = partitions(spark) * 8
     first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, first array<long>")
     strings = hot.groupBy("cx").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo")).select("cx", "lo", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("ctx") - LENGTH + 1), lambda k: F.substring("ctx", k, F.lit(LENGTH)))).alias("k", "s"))
