@@ -46,14 +46,14 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def minimizers(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
-    """(hash of the seed at each byte, least hash of each string, start allowed): strings inside one text only."""
+    """(hash of the seed at each byte, least hash of each string, mixed anew, start allowed): strings inside one text only."""
     n = len(data) - length + 1
     if n <= 0:
         z = np.zeros(0, np.uint64)
         return z, z, np.zeros(0, bool)
     at = np.arange(len(data) - SEED + 1)
     h = B.SpanHash(data)(at, at + SEED)
-    low = sliding(h, length - SEED + 1, np.minimum)
+    low = B.mix(sliding(h, length - SEED + 1, np.minimum))  # one to one; least hashes themselves crowd at small values
     inside = np.ones(n, bool)
     for b in bounds[1:-1]:
         inside[max(0, b - length + 1):b] = False
