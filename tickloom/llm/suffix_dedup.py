@@ -257,9 +257,12 @@ def two_stage(t: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = L
     return sa, lcp
 
 
+FIRST = ["cx", "n", "first"]
+
+
 def earliest(key, rows):
-    """(cx, first): for each context of a group the least document of every string that starts in it,
-    where some other document of the context comes later."""
+    """(cx, n, first): for each context of a group the least document of each of its n strings, where some
+    other document of the context comes later; one value where all n agree."""
     merged: dict[bytes, list] = {}
     for cx, mh, ctx, lo, hi in zip(*[rows.column(c).to_pylist() for c in ("cx", "mh", "ctx", "lo", "hi")]):
         got = merged.setdefault(ctx, [cx, mh, lo, hi])
@@ -273,7 +276,7 @@ def earliest(key, rows):
     np.maximum.at(high, at, hi)
     apart = np.flatnonzero((low < high)[at])
     if not len(apart):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], ["cx", "first"])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64()))], FIRST)
     ctx, cx, lo, hi = [ctx[i] for i in apart], cx[apart], lo[apart], hi[apart]
     t = np.frombuffer(b"".join(ctx), np.uint8)
     size = np.array([len(x) for x in ctx], np.int64)
@@ -282,11 +285,20 @@ def earliest(key, rows):
     sa, lcp = two_stage(t, begin, end)
     owner = lo[np.searchsorted(begin, sa, "right") - 1]
     starts = np.concatenate([[0], np.flatnonzero(lcp < LENGTH) + 1])
-    least = np.empty(len(t), np.int64)
+    least = np.full(len(t), -1, np.int64)
+    useful = np.zeros(len(t), bool)
+    useful[sa] = True
     least[sa] = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(sa))))
-    first = [least[a:b - LENGTH + 1] for a, b in zip(begin, end)]
-    later = [i for i, f in enumerate(first) if f.min() < hi[i]]
-    return pa.table([pa.array(cx[later]), pa.array([first[i] for i in later], pa.list_(pa.int64()))], ["cx", "first"])
+    least = least[useful]  # the strings of each context in turn
+    n = size - LENGTH + 1
+    head = np.cumsum(n) - n
+    low, high = np.minimum.reduceat(least, head), np.maximum.reduceat(least, head)
+    later = low < hi
+    keep = np.repeat(later & (low < high), n)
+    keep[head[later]] = True
+    count = np.where(low < high, n, 1)[later]
+    first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(least[keep]))
+    return pa.table([pa.array(cx[later]), pa.array(n[later].astype(np.int32)), first], FIRST)
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -310,21 +322,35 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tidy(spark)
     cold, hot = distinct.join(many, "mh", "left_anti"), distinct.join(many, "mh", "left_semi")
     groups = partitions(spark) * 8
-    first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, first array<long>")
+    first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, n int, first array<long>")
     strings = hot.groupBy("cx").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo")).select("cx", "lo", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("ctx") - LENGTH + 1), lambda k: F.substring("ctx", k, F.lit(LENGTH)))).alias("k", "s"))
     least = strings.groupBy("s").agg(F.min("lo").alias("low"))
     hot_first = strings.join(least, "s").groupBy("cx").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("first"))
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("first")).select("cx", F.size("first").alias("n"), "first")
     first = stored(first.unionByName(hot_first), "first")
     tidy(spark)
     marks = stored(found.where("tid is not null").select("cx", "tid", "at").join(first, "cx")
-                   .groupBy("tid").agg(F.collect_list(F.struct("at", "first")).alias("marks")), "marks")
+                   .groupBy("tid").agg(F.collect_list(F.struct("at", "n", "first")).alias("marks")), "marks")
     released(spark, found, first, many)
     tidy(spark)
     return texts, marks
 
 
+def covers(marks: pa.Array):
+    """(begin, end) of each row's entries and their (first string, number of strings, least document)."""
+    size = np.array(marks.value_lengths().fill_null(0), np.int64)
+    end = np.cumsum(size)
+    each = marks.flatten()
+    at, n, first = (each.field(k) for k in range(3))
+    at, n = at.to_numpy(zero_copy_only=False).astype(np.int64), n.to_numpy(zero_copy_only=False).astype(np.int64)
+    k = np.array(first.value_lengths(), np.int64)
+    head = np.cumsum(k) - k
+    at = np.repeat(at - head, k) + np.arange(k.sum())
+    upto = np.concatenate([[0], np.cumsum(k)])
+    return upto[end - size], upto[end], at, np.repeat(np.where(k == 1, n, 1), k), first.flatten().to_numpy(zero_copy_only=False)
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
 
 
@@ -335,21 +361,31 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for did, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            dids = batch.column(0).to_numpy(zero_copy_only=False)
+            begin, end, at, width, first = covers(batch.column(2))
+            rows, starts, ends, counts = [], [], [], []
+            for did, text, x, y in zip(dids.tolist(), batch.column(1), begin.tolist(), end.tolist()):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for m in found or ():
-                    starts = np.flatnonzero(np.array(m["first"]) < did) + m["at"]
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + LENGTH, -1)
-                gone = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
-                a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
-                out.append((did, len(raw), int((b - a).sum()), len(a), hashlib.sha256(raw[~gone[1:-1]].tobytes()).hexdigest(),
-                            [{"start": int(x), "end": int(y)} for x, y in zip(a, b)]))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                use = np.flatnonzero(first[x:y] < did) + x
+                a = b = use[:0]
+                kept = raw
+                if len(use):
+                    size = len(raw) + 1
+                    edge = np.bincount(at[use], minlength=size) - np.bincount(at[use] + width[use] + LENGTH - 1, minlength=size)
+                    gone = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+                    a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
+                    kept = raw[~gone[1:-1]]
+                rows.append((did, len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest()))
+                starts.append(a)
+                ends.append(b)
+                counts.append(len(a))
+            if not rows:
+                continue
+            spans = pa.StructArray.from_arrays([pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(ends).astype(np.int64))],
+                                               ["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(zip(*rows), kinds)], spans],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     opened = texts.where("text is not null").select("tid", "did", "text").join(marks, "tid", "left").select("did", "text", "marks")
