@@ -25,7 +25,8 @@ _powers = {"n": 0, "p": None, "q": None}
 
 def text_slices(column: pa.Array, limit: int = SLICE):
     """(first row, last row, bytes, start of each text and the end of the last) for runs of rows."""
-    column = column.fill_null("").cast(pa.large_string()) if len(column) else column
+    wide = pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string()
+    column = column.cast(wide).fill_null(b"" if wide == pa.large_binary() else "") if len(column) else column
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]

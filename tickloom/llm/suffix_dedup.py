@@ -131,7 +131,8 @@ def flat(b: bytes) -> np.ndarray:
 
 
 def shared_seeds(seeds: DataFrame) -> DataFrame:
-    """(tid, h): per text the minimizers that another text holds too, as bytes."""
+    """(tid, h): per text the lower halves of the minimizers that another text holds too, as bytes.
+    A chance match of halves only adds a context that repeats nothing."""
 
     def merge(key, rows):
         rows = rows.to_pylist()
@@ -148,27 +149,27 @@ def shared_seeds(seeds: DataFrame) -> DataFrame:
         h, t = h[order], t[order]
         ids, first = np.unique(t, return_index=True)
         ends = np.append(first, len(t))
-        return pa.table([pa.array(ids, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["tid", "h"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array([h[a:b].astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["tid", "h"])
 
     return seeds.groupBy("bucket").applyInArrow(merge, "tid long, h binary")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
     """Maximal runs of strings that share one occurrence of a shared minimizer, as two kinds of rows:
-    (cx, mh, ctx, lo, hi) for each distinct context of a task's flush with its least and greatest document, and
+    (mh, ctx, lo, hi) for each distinct context of a task's flush with its least and greatest document, and
     (cx, tid, at) for each occurrence."""
 
     def run(batches):
         held: dict[bytes, list] = {}
 
         def flush():
-            rows = [(cx, mh, ctx, lo, hi) for ctx, (cx, mh, lo, hi) in held.items()]
+            rows = [(mh, ctx, lo, hi) for ctx, (mh, lo, hi) in held.items()]
             held.clear()
             for k in range(0, len(rows), 20_000):
-                cx, mh, ctx, lo, hi = zip(*rows[k:k + 20_000])
-                n = len(cx)
+                mh, ctx, lo, hi = zip(*rows[k:k + 20_000])
+                n = len(mh)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cx, pa.int64()), pa.array(mh, pa.int64()), pa.array(ctx, pa.binary()), pa.array(lo, pa.int64()),
+                    [pa.nulls(n, pa.int64()), pa.array(mh, pa.int64()), pa.array(ctx, pa.binary()), pa.array(lo, pa.int64()),
                      pa.array(hi, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], NAMES)
 
         for batch in batches:
@@ -180,10 +181,10 @@ def contexts(texts: DataFrame) -> DataFrame:
                 where = np.arange(len(h))
                 where = sliding(where, LENGTH - SEED + 1, lambda a, b: np.where(h[b] < h[a], b, a))
                 salt = lambda hashes, d: B.mix(hashes + d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                seeds = [np.frombuffer(b"".join(x or ()), np.uint64) for x in batch.column(3)[i:j].to_pylist()]
+                seeds = [np.frombuffer(b"".join(x or ()), np.uint32).astype(np.uint64) for x in batch.column(3)[i:j].to_pylist()]
                 wanted = np.unique(salt(np.concatenate(seeds), np.repeat(np.arange(j - i), [len(x) for x in seeds])))
                 doc = np.searchsorted(bounds, np.arange(len(low)), "right") - 1
-                key = salt(low, doc)
+                key = salt(low & np.uint64(0xFFFFFFFF), doc)
                 at = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
                 use = np.flatnonzero(inside & (wanted[at] == key)) if len(wanted) else np.zeros(0, np.int64)
                 if not len(use):
@@ -195,12 +196,12 @@ def contexts(texts: DataFrame) -> DataFrame:
                 cx = B.SpanHash(data)(a, b + LENGTH).view(np.int64)
                 d = doc[a]
                 raw, n = data.tobytes(), len(a)
-                for x, y, c, m, who in zip(a.tolist(), b.tolist(), cx.tolist(), low[a].view(np.int64).tolist(), dids[i:j][d].tolist()):
-                    got = held.setdefault(raw[x:y + LENGTH], [c, m, who, who])
-                    if who < got[2]:
+                for x, y, m, who in zip(a.tolist(), b.tolist(), low[a].view(np.int64).tolist(), dids[i:j][d].tolist()):
+                    got = held.setdefault(raw[x:y + LENGTH], [m, who, who])
+                    if who < got[1]:
+                        got[1] = who
+                    elif who > got[2]:
                         got[2] = who
-                    elif who > got[3]:
-                        got[3] = who
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(cx), none, pa.nulls(n, pa.binary()), none, none, pa.array(tids[i:j][d]),
                                                   pa.array((a - bounds[d]).astype(np.int32))], NAMES)
@@ -260,15 +261,23 @@ def two_stage(t: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = L
 FIRST = ["cx", "n", "first"]
 
 
+def with_hash(batches):
+    """(cx, ctx, lo): contexts and their own hash."""
+    for batch in batches:
+        for i, j, data, bounds in B.text_slices(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(B.SpanHash(data)(bounds[:-1], bounds[1:]).view(np.int64)),
+                                              batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], ["cx", "ctx", "lo"])
+
+
 def earliest(key, rows):
     """(cx, n, first): for each context of a group the least document of each of its n strings, where some
     other document of the context comes later; one value where all n agree."""
     merged: dict[bytes, list] = {}
-    for cx, mh, ctx, lo, hi in zip(*[rows.column(c).to_pylist() for c in ("cx", "mh", "ctx", "lo", "hi")]):
-        got = merged.setdefault(ctx, [cx, mh, lo, hi])
-        got[2], got[3] = min(got[2], lo), max(got[3], hi)
+    for mh, ctx, lo, hi in zip(*[rows.column(c).to_pylist() for c in ("mh", "ctx", "lo", "hi")]):
+        got = merged.setdefault(ctx, [mh, lo, hi])
+        got[1], got[2] = min(got[1], lo), max(got[2], hi)
     ctx = list(merged)
-    cx, mh, lo, hi = (np.array(x, np.int64) for x in zip(*merged.values()))
+    mh, lo, hi = (np.array(x, np.int64) for x in zip(*merged.values()))
     # a minimizer that one document holds alone repeats nothing
     _, at = np.unique(mh, return_inverse=True)
     low, high = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
@@ -277,11 +286,12 @@ def earliest(key, rows):
     apart = np.flatnonzero((low < high)[at])
     if not len(apart):
         return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64()))], FIRST)
-    ctx, cx, lo, hi = [ctx[i] for i in apart], cx[apart], lo[apart], hi[apart]
+    ctx, lo, hi = [ctx[i] for i in apart], lo[apart], hi[apart]
     t = np.frombuffer(b"".join(ctx), np.uint8)
     size = np.array([len(x) for x in ctx], np.int64)
     end = np.cumsum(size)
     begin = end - size
+    cx = B.SpanHash(t)(begin, end).view(np.int64)
     sa, lcp = two_stage(t, begin, end)
     owner = lo[np.searchsorted(begin, sa, "right") - 1]
     starts = np.concatenate([[0], np.flatnonzero(lcp < LENGTH) + 1])
@@ -316,14 +326,15 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     released(spark, known)
     tidy(spark)
     found = stored(contexts(texts.where("text is not null")), "contexts")
-    distinct = found.where("ctx is not null").select("cx", "mh", "ctx", "lo", "hi")
+    distinct = found.where("ctx is not null").select("mh", "ctx", "lo", "hi")
     # stored, so its size is known: as a rule it is empty and needs no shuffle of the contexts
     many = stored(distinct.groupBy("mh").count().where(F.col("count") > HOT).select("mh"), "hot")
     tidy(spark)
     cold, hot = distinct.join(many, "mh", "left_anti"), distinct.join(many, "mh", "left_semi")
     groups = partitions(spark) * 8
     first = cold.withColumn("part", F.pmod("mh", F.lit(groups))).groupBy("part").applyInArrow(earliest, "cx long, n int, first array<long>")
-    strings = hot.groupBy("cx").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo")).select("cx", "lo", F.posexplode(F.transform(
+    hashed = hot.select("ctx", "lo").mapInArrow(with_hash, "cx long, ctx binary, lo long")
+    strings = hashed.groupBy("cx").agg(F.first("ctx").alias("ctx"), F.min("lo").alias("lo")).select("cx", "lo", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("ctx") - LENGTH + 1), lambda k: F.substring("ctx", k, F.lit(LENGTH)))).alias("k", "s"))
     least = strings.groupBy("s").agg(F.min("lo").alias("low"))
     hot_first = strings.join(least, "s").groupBy("cx").agg(
