@@ -332,6 +332,27 @@ def test_many_near_copies(spark):
     assert {r.class_did for r in got} == {0, 1000}
 
 
+def test_near_dedup_star_whose_hub_is_not_the_least(spark):
+    # each edit is near the original (Jaccard 0.82) and not near the other edits (0.70)
+    base = [f"word{i}" for i in range(300)]
+    rng = np.random.default_rng(6)
+    edits = []
+    for i in range(120):
+        at = set((int(rng.integers(0, 50)) + 50 * np.arange(6)).tolist()) if i else set(range(3, 300, 50))
+        edits.append(" ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base)))
+    rows = [(i, t) for i, t in enumerate(edits)] + [(1000, " ".join(base)), (2000, " ".join(f"other{i}" for i in range(100)))]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, 0) for i in [*range(120), 1000]} | {(2000, 2000)}
+    assert {(r.did, r.class_did) for r in near_dedup.near_classes(rows, neighbours=1).collect()} == want
+    # the exact join alone finds every pair between classes
+    texts = rows.select(F.col("doc_id").alias("did"), "text")
+    sets = near_dedup.shingle_sets(texts).withColumn("c", F.col("did"))
+    got = near_dedup.verified(near_dedup.prefix_pairs(sets, 0.8), sets, 0.8).collect()
+    whole = {r.did: set(np.frombuffer(r.set, np.uint64).tolist()) for r in sets.collect()}
+    true = {(a, b) for a in whole for b in whole if a < b and jaccard(whole[a], whole[b]) >= 0.8}
+    assert {(r.a, r.b) for r in got} == true and len(true) >= 120
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     path = str(tmp_path)
     clean = [(i, " ".join(f"w{i}x{k} the and" for k in range(30)), "en", "s", 5) for i in range(20)]

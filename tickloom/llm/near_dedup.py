@@ -9,10 +9,12 @@ earliest dart. Two signatures agree on a coordinate with probability equal to th
 similarity. A document with an empty coordinate throws again over twice the ranks.
 
 Equal texts are one class at once. Band keys of their representatives are joined; each member of a
-bucket is compared with the bucket's least document, and where a bucket still spans several
-classes also with its nearest members by signature, until a round finds no new link. Every link is
-verified on the whole shingle sets (Jaccard at least ``threshold``), and classes are connected
-components. Pairs per round are linear in the bucket members.
+bucket is compared with the bucket's least document, and where a bucket still spans several classes
+also with its nearest members by signature and with the member that meets most others in its buckets.
+Members of buckets that stay open are joined exactly: shingles are ordered from rare to frequent, and two sets of Jaccard
+``threshold`` or more share one among the first few of both (prefix filter), are of like size (length
+filter) and have enough left after the first shared one (positional filter). Every link is verified on the
+whole shingle sets, and classes are connected components of all links between bucket members.
 
 Defined cases: a text of one to four words is one shingle; null text is empty; texts without words
 are near only to equal texts; null doc_ids are one document, ordered last; repeated rows share a class;
@@ -30,6 +32,8 @@ from tickloom.llm import bytesops as B
 from tickloom.llm.common import NO_ID, doc_order, doc_text, stored, table
 
 SHINGLE, BANDS, ROWS, THRESHOLD, NEIGHBOURS = 5, 20, 4, 0.8, 8
+#: slots of the shingle frequencies that order the prefix join
+SKETCH = 1 << 20
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray):
@@ -166,6 +170,61 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "c")
 
 
+def ordered_pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def open_members(shared: DataFrame, links: DataFrame):
+    """Components of the links, and the members of buckets that span several of them with their class ``c``."""
+    classes = components(links)
+    label = shared.join(classes.select(F.col("v").alias("did"), "c"), "did", "left").withColumn("c", F.coalesce("c", "did"))
+    open_ = label.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
+    return classes, label.join(open_, ["band", "key"])
+
+
+def prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes among (did, c, set) that can reach the threshold: every pair that does is there."""
+
+    def slot(h):
+        return (B.mix(h) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+    def sizes(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(slot(np.frombuffer(x.as_buffer(), np.uint64)), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    # one count per slot: any order of the shingles gives all pairs, this one keeps frequent ones out of the prefixes
+    freq = np.zeros(SKETCH, np.int64)
+    counted = rest.select("set").mapInArrow(sizes, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    freq[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = rest.sparkSession.sparkContext.broadcast(freq)
+
+    def prefixes(batches):
+        freq = shared.value
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            size = np.array([len(x) for x in sets], np.int64)
+            k = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            first = [h[np.lexsort((h, freq[slot(h)]))[:n]] for h, n in zip(sets, k)]
+            at = np.repeat(np.arange(len(sets)), k)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+            did, c = (batch.column(i).to_numpy(zero_copy_only=False)[at] for i in (0, 1))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(first).view(np.int64), did, c, size[at], size[at] - place)],
+                                                 ["tok", "did", "c", "size", "rest"])
+
+    rows = stored(rest.select("did", "c", "set").mapInArrow(prefixes, "tok long, did long, c long, size long, rest long"), "prefixes")
+    mixed = rows.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok")
+    rows = rows.join(mixed, "tok", "left_semi")
+    x, y = (rows.select("tok", *[F.col(k).alias(k + i) for k in ("did", "c", "size", "rest")]) for i in "xy")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("sizex") + F.col("sizey")) - 1e-6
+    return ordered_pairs(x.join(y, "tok").where((F.col("didx") < F.col("didy")) & (F.col("cx") != F.col("cy"))
+                                                & (F.least("restx", "resty") >= need)), "didx", "didy")
+
+
 def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THRESHOLD, bands: int = BANDS,
                  rows: int = ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(did, rep, class_did, n_links): one row per input row; ``rep`` is the least document of the same text."""
@@ -177,30 +236,29 @@ def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THR
     least = bucket.groupBy("band", "key").agg(F.min("did").alias("first"), F.count("*").alias("n")).where("n > 1")
     # members of buckets with company: what every later round reads
     shared = stored(bucket.join(least, ["band", "key"]).select(
-        "did", "band", "key", "first", F.element_at("keys", F.pmod(F.col("band") + 1, F.lit(bands)) + 1).alias("near1"),
+        "did", "band", "key", "first", "n", F.element_at("keys", F.pmod(F.col("band") + 1, F.lit(bands)) + 1).alias("near1"),
         F.element_at("keys", F.pmod(F.col("band") + 2, F.lit(bands)) + 1).alias("near2")), "buckets")
     wanted = shared.select("did").distinct()
     # one text for each document in question; a document of several texts is represented by the first of them
     texts = docs.select(doc_order().alias("did"), F.xxhash64(doc_text()).alias("t1"), doc_text().alias("text"))
     chosen = reps.select(F.col("rep").alias("did"), "t1").groupBy("did").agg(F.min("t1").alias("t1")).join(wanted, "did")
     sets = stored(shingle_sets(texts.join(chosen, ["did", "t1"]).dropDuplicates(["did"])), "sets")
-    tried = stored(shared.where("did <> first").select(F.col("first").alias("a"), F.col("did").alias("b")).distinct(), "pairs")
+    tried = stored(ordered_pairs(shared.where("did <> first"), "first", "did"), "pairs")
     links = stored(verified(tried, sets, threshold), "links")
-    while True:
-        classes = components(links)
-        label = shared.join(classes.select(F.col("v").alias("did"), "c"), "did", "left").withColumn("c", F.coalesce("c", "did"))
-        open_ = label.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
-        split = label.join(open_, ["band", "key"])
-        order = Window.partitionBy("band", "key").orderBy("near1", "near2", "did")
-        ahead = F.array(*[F.struct(F.lead("did", i).over(order).alias("d"), F.lead("c", i).over(order).alias("c"))
-                          for i in range(1, neighbours + 1)])
-        pairs = split.select("did", "c", ahead.alias("ahead")).select("did", "c", F.explode("ahead").alias("o")).where("o.d is not null and o.c <> c").select(
-            F.least("did", "o.d").alias("a"), F.greatest("did", "o.d").alias("b")).distinct()
-        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = stored(verified(fresh, sets, threshold), "links")
-        if new.limit(1).count() == 0:
-            break
-        tried, links = tried.unionByName(fresh), links.unionByName(new)
+    classes, split = open_members(shared, links)
+    order = Window.partitionBy("band", "key").orderBy("near1", "near2", "did")
+    ahead = [F.struct(F.lead("did", i).over(order).alias("d"), F.lead("c", i).over(order).alias("c")) for i in range(1, neighbours + 1)]
+    company = split.groupBy("did").agg(F.sum("n").alias("company"))
+    hubs = split.join(company, "did").groupBy("band", "key").agg(F.max(F.struct("company", "did", "c")).alias("hub"))
+    others = F.concat(F.array(F.struct(F.col("hub.did").alias("d"), F.col("hub.c").alias("c"))), "ahead")
+    pairs = split.withColumn("ahead", F.array(*ahead)).join(hubs, ["band", "key"]).select("did", "c", F.explode(others).alias("o"))
+    fresh = stored(ordered_pairs(pairs.where("o.d is not null and o.c <> c"), "did", "o.d").join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(stored(verified(fresh, sets, threshold), "links"))
+    classes, split = open_members(shared, links)
+    rest = stored(split.select("did", "c").distinct().join(sets, "did"), "open")
+    fresh = stored(prefix_pairs(rest, threshold).join(tried.unionByName(fresh), ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(stored(verified(fresh, sets, threshold), "links"))
+    classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
     # classes are settled by text before copies come in, so a large group of copies meets one plain join
     by_text = reps.select("t1", "t2", "rep").join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")
