@@ -353,6 +353,19 @@ def test_near_dedup_star_whose_hub_is_not_the_least(spark):
     assert {(r.a, r.b) for r in got} == true and len(true) >= 120
 
 
+def test_rows_without_or_with_repeated_ids_are_judged_by_their_text(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    leak = f"before {PASSAGE} after"
+    rows = [(1, text(1)), (None, text(1)), (None, text(1) + " more"), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)),
+            (9, text(5) + " more"), (8, text(4) + " more"), (None, leak), (7, leak)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in near_dedup.keep_one_of_each(docs).collect()}
+    assert kept == {(1, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, leak)}
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    clean = [(r.doc_id, r.text) for r in decontamination.keep_clean(docs, bench).collect()]
+    assert sorted(map(str, clean)) == sorted(str(r) for r in rows if r[1] != leak)
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     path = str(tmp_path)
     clean = [(i, " ".join(f"w{i}x{k} the and" for k in range(30)), "en", "s", 5) for i in range(20)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bytesops as B
-from tickloom.llm.common import doc_order, stored, table
+from tickloom.llm.common import stored, table
 
 WINDOW, NEAR, GAP, SEGMENT_BYTES, BLOCK_WORDS = 10, 15, 64, 4 << 20, 1 << 20
 SHIFT = np.int64(1) << np.int64(40)
@@ -227,10 +227,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, near: int = NEAR, block
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a benchmark window, with all their columns.
 
-    Rows that share a doc_id stand or fall together; rows without one count as one document."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(doc_order().alias("_bad_doc")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_order().alias("_doc"))
-    return rows.join(bad, F.col("_doc") == F.col("_bad_doc"), "left_anti").select("row.*")
+    Every row is judged by its own text, whatever its doc_id."""
+    own = F.xxhash64(F.col("text").cast("string"))
+    bad = contamination(docs.select(own.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("_text"))
+    return rows.join(bad, F.col("_text") == F.col("_bad"), "left_anti").select("row.*")
 
 
 def op4(spark, sf_dir):

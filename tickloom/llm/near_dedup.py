@@ -17,8 +17,8 @@ filter) and have enough left after the first shared one (positional filter). Eve
 whole shingle sets, and classes are connected components of all links between bucket members.
 
 Defined cases: a text of one to four words is one shingle; null text is empty; texts without words
-are near only to equal texts; null doc_ids are one document, ordered last; repeated rows share a class;
-an empty table gives an empty result.
+are near only to equal texts; every text is judged by itself, whatever doc_ids its rows have; null
+doc_ids are ordered last; repeated rows share a class; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -227,11 +227,14 @@ def prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THRESHOLD, bands: int = BANDS,
                  rows: int = ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(did, rep, class_did, n_links): one row per input row; ``rep`` is the least document of the same text."""
-    spark = docs.sparkSession
+    """(did, t1, t2, rep, class_did, class_t1, class_t2, n_links): one row per input row; ``rep`` is the least document
+    of the same text, class_* the class's least document and its text; links counted are those that were looked for."""
     sigs = stored(signatures(docs, weighting, bands, rows), "signatures")
-    reps = stored(sigs.groupBy("t1", "t2").agg(F.min_by("keys", "did").alias("keys"), F.min("did").alias("rep")), "texts")
-    members = reps.where(F.col("keys").isNotNull()).select(F.col("rep").alias("did"), "keys")
+    reps = sigs.groupBy("t1", "t2").agg(F.min_by("keys", "did").alias("keys"), F.min("did").alias("rep"))
+    # a text's node is its first hash, or the second where texts share the first
+    same = F.row_number().over(Window.partitionBy("t1").orderBy("t2"))
+    reps = stored(reps.select("t1", "t2", "keys", "rep", F.when(same == 1, F.col("t1")).otherwise(F.col("t2")).alias("node")), "texts")
+    members = reps.where(F.col("keys").isNotNull()).select(F.col("node").alias("did"), "keys")
     bucket = members.select("did", "keys", F.posexplode("keys").alias("band", "key"))
     least = bucket.groupBy("band", "key").agg(F.min("did").alias("first"), F.count("*").alias("n")).where("n > 1")
     # members of buckets with company: what every later round reads
@@ -239,10 +242,11 @@ def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THR
         "did", "band", "key", "first", "n", F.element_at("keys", F.pmod(F.col("band") + 1, F.lit(bands)) + 1).alias("near1"),
         F.element_at("keys", F.pmod(F.col("band") + 2, F.lit(bands)) + 1).alias("near2")), "buckets")
     wanted = shared.select("did").distinct()
-    # one text for each document in question; a document of several texts is represented by the first of them
-    texts = docs.select(doc_order().alias("did"), F.xxhash64(doc_text()).alias("t1"), doc_text().alias("text"))
-    chosen = reps.select(F.col("rep").alias("did"), "t1").groupBy("did").agg(F.min("t1").alias("t1")).join(wanted, "did")
-    sets = stored(shingle_sets(texts.join(chosen, ["did", "t1"]).dropDuplicates(["did"])), "sets")
+    # one row of each text in question
+    chosen = reps.join(wanted, F.col("node") == F.col("did")).select("t1", "t2", "rep", "node")
+    texts = docs.select(doc_order().alias("rep"), F.xxhash64(doc_text()).alias("t1"), F.xxhash64(F.lit("text"), doc_text()).alias("t2"), doc_text().alias("text"))
+    texts = texts.join(chosen, ["rep", "t1", "t2"]).select(F.col("node").alias("did"), "text")
+    sets = stored(shingle_sets(texts.dropDuplicates(["did"])), "sets")
     tried = stored(ordered_pairs(shared.where("did <> first"), "first", "did"), "pairs")
     links = stored(verified(tried, sets, threshold), "links")
     classes, split = open_members(shared, links)
@@ -259,18 +263,25 @@ def near_classes(docs: DataFrame, weighting: str = "set", threshold: float = THR
     fresh = stored(prefix_pairs(rest, threshold).join(tried.unionByName(fresh), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(stored(verified(fresh, sets, threshold), "links"))
     classes = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     # classes are settled by text before copies come in, so a large group of copies meets one plain join
-    by_text = reps.select("t1", "t2", "rep").join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left").join(degree, "rep", "left")
+    by_text = reps.select("t1", "t2", "rep", "node").join(classes.select(F.col("v").alias("node"), "c"), "node", "left").join(degree, "node", "left")
+    own = F.struct("rep", "t1", "t2")
+    heads = by_text.where("c is not null").groupBy("c").agg(F.min(own).alias("head"))
+    by_text = by_text.join(heads, "c", "left").select("t1", "t2", "rep", "count", F.coalesce("head", own).alias("head"))
     return sigs.select("did", "t1", "t2").join(by_text, ["t1", "t2"]).select(
-        "did", "rep", F.coalesce("c", "rep").alias("class_did"), F.coalesce("count", F.lit(0)).alias("n_links"))
+        "did", "t1", "t2", "rep", F.col("head.rep").alias("class_did"), F.col("head.t1").alias("class_t1"), F.col("head.t2").alias("class_t2"),
+        F.coalesce("count", F.lit(0)).alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The least document of each class, with all columns; of rows that repeat it, one."""
-    keep = near_classes(docs.select("doc_id", "text"), **options).where("did = class_did").select(F.col("did").alias("_keep")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_order().alias("_doc"), F.xxhash64(doc_text()).alias("_t"))
-    return rows.join(keep, F.col("_doc") == F.col("_keep"), "left_semi").dropDuplicates(["_doc", "_t"]).select("row.*")
+    """The least document of each class, with all columns; of rows that repeat its doc_id and text, one."""
+    keep = near_classes(docs.select("doc_id", "text"), **options).where("did = class_did and t1 = class_t1 and t2 = class_t2").select(
+        F.col("did").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_order().alias("_doc"),
+                       F.xxhash64(doc_text()).alias("_t1"), F.xxhash64(F.lit("text"), doc_text()).alias("_t2"))
+    key = ["_doc", "_t1", "_t2"]
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def op10(spark, sf_dir):
