@@ -187,6 +187,15 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_lines_and_not_scattered(spark):
+    filler = " ".join(f"f{i}" for i in range(50))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    texts = [mpl, bsd, *(f"{' '.join(['x'] * k)} {mpl} {filler}" for k in range(18)), f"all {filler} rights {filler} reserved", f"{filler} All\nrights reserved"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.labels for r in got.orderBy("doc_id").collect()] == ["mpl-2", "bsd", *["mpl-2"] * 18, "", "all-rights-reserved"]
+
+
 def test_sharding(docs, empty):
     got = sharding.shard_plan(docs, 4).toPandas()
     assert len(got) == docs.count() and got["size"].sum() == sum(len(t.encode()) + 8 for _, _, t in plain(docs))

@@ -1,7 +1,8 @@
 """Licence scan: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line. Its token set is compared with each template's by containment, the share of the
-template's tokens that the block holds. Tokens are ordered by their global frequency over all
+A block is a window of twice a template's words; windows start every template length, over the whole text
+and across line breaks, so every passage as long as the template lies inside one. Its token set is compared
+with the template's by containment, the share of the template's tokens that the block holds. Tokens are ordered by their global frequency over all
 blocks, rarest first. The join is exact: a block with enough tokens in common shares one within
 the prefixes of both sides (prefix filter), is long enough (length filter) and has
 enough left after the shared position on both sides (positional filter); what passes is verified
@@ -36,12 +37,13 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved"),
 ]
 THRESHOLD = 0.9
+WORDS = r"[0-9a-z\u0080-\U0010ffff]+"
 #: characters outside words, but for the line break
 NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def template_tokens(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())))
+    return sorted(set(re.findall(WORDS, text.lower())))
 
 
 def spaced(text: Column) -> Column:
@@ -49,12 +51,20 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(ascii_lower(text), NOT_WORD, " ")
 
 
-def blocks(docs: DataFrame, vocab: list[str]) -> DataFrame:
-    """(did, th, block, toks): template tokens of every line that holds any."""
-    lines = docs.select(doc_order().alias("did"), F.xxhash64(doc_text()).alias("th"),
-                        F.posexplode(F.split(spaced(doc_text()), "\n")).alias("block", "line"))
-    toks = F.array_intersect(F.split("line", " "), F.array(*[F.lit(v) for v in vocab]))
-    return lines.select("did", "th", "block", toks.alias("toks")).where(F.size("toks") > 0)
+def blocks(docs: DataFrame, sets: list, vocab: list[str]) -> DataFrame:
+    """(did, th, template, block, toks): template tokens of every window of the templates whose tokens the text holds."""
+    every = F.array(*[F.lit(v) for v in vocab])
+    shapes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(words).alias("words"), F.lit(need).alias("need"),
+                                F.array(*[F.lit(t) for t in s]).alias("set")) for i, s, need, words in sets])
+    rows = docs.select(doc_order().alias("did"), F.xxhash64(doc_text()).alias("th"), F.split(
+        F.btrim(F.regexp_replace(spaced(doc_text()), "[ \n]+", " ")), " ").alias("words"))
+    rows = rows.withColumn("held", F.array_intersect("words", every))
+    rows = rows.select("did", "th", "words", F.explode(F.filter(
+        shapes, lambda t: F.size(F.array_intersect("held", t["set"])) >= t["need"])).alias("t"))
+    last = F.greatest(F.ceil(F.size("words") / F.col("t.words")).cast("int") - 2, F.lit(0))
+    toks = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_intersect(
+        F.slice("words", k * F.col("t.words") + 1, 2 * F.col("t.words")), every))
+    return rows.select("did", "th", F.col("t.i").alias("template"), F.posexplode(toks).alias("block", "toks")).where(F.size("toks") > 0)
 
 
 def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -62,11 +72,12 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     spark = docs.sparkSession
     sets = [(i, label, template_tokens(text)) for i, (label, text) in enumerate(templates)]
     vocab = sorted({t for _, _, s in sets for t in s})
-    found = stored(blocks(docs, vocab), "blocks")
+    need = {i: math.ceil(threshold * len(s) - 1e-9) for i, _, s in sets}
+    shapes = [(i, s, need[i], len(re.findall(WORDS, text.lower()))) for (i, _, s), (_, text) in zip(sets, templates)]
+    found = stored(blocks(docs, shapes, vocab), "blocks")
     # one count per template token: bounded by the templates
     counts = {r["t"]: r["count"] for r in found.select(F.explode("toks").alias("t")).groupBy("t").count().collect()}
     rank = {t: i for i, t in enumerate(sorted(vocab, key=lambda t: (counts.get(t, 0), t)))}
-    need = {i: math.ceil(threshold * len(s) - 1e-9) for i, _, s in sets}
     index = [(i, label, t, j, len(s), need[i], s) for i, label, s in sets
              for j, t in enumerate(sorted(s, key=rank.get)[:len(s) - need[i] + 1])]
     index = spark.createDataFrame(index, "template int, label string, tok string, j int, size int, need int, all array<string>")
@@ -74,11 +85,11 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     ordered = F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(F.element_at(by_rank, t).alias("r"), t.alias("t")))),
                           lambda x: x["t"])
     least = min(need.values())
-    long_enough = found.where(F.size("toks") >= least).select("did", "th", "block", ordered.alias("toks"))
-    prefix = long_enough.select("did", "th", "block", "toks", F.posexplode(
+    long_enough = found.where(F.size("toks") >= least).select("did", "th", "template", "block", ordered.alias("toks"))
+    prefix = long_enough.select("did", "th", "template", "block", "toks", F.posexplode(
         F.slice("toks", F.lit(1), F.size("toks") - least + 1)).alias("i", "tok"))
     left = F.size("toks") - F.col("i")
-    pairs = prefix.join(F.broadcast(index), "tok").where(
+    pairs = prefix.join(F.broadcast(index), ["template", "tok"]).where(
         (F.size("toks") >= F.col("need")) & (left >= F.col("need"))
         & (F.least(F.col("i"), F.col("j")) + F.least(left, F.col("size") - F.col("j")) >= F.col("need")))
     overlap = F.size(F.array_intersect("toks", "all"))
@@ -106,7 +117,7 @@ def scan(docs: DataFrame, phrases=None, templates=TEMPLATES, threshold: float =
     base = base.select("doc_id", "did", "th", F.size("words").cast("long").alias("n_words"), F.concat(*places.values()).alias("at"),
                        F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(phrases[p])) for p, c in places.items()])).alias("bl"))
     per_doc = template_matches(docs, templates, threshold).groupBy("did", "th").agg(
-        F.collect_set("label").alias("ml"), F.max("containment").alias("score"), F.countDistinct("block").alias("n_blocks"))
+        F.collect_set("label").alias("ml"), F.max("containment").alias("score"), F.countDistinct("template", "block").alias("n_blocks"))
     out = base.join(per_doc, ["did", "th"], "left")
     both = F.array_union("bl", F.coalesce("ml", F.array().cast("array<string>")))
     return out.select(
