@@ -62,8 +62,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tickloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc = spark.sparkContext
+        if not getattr(sc, "_tickloom_dir", None):  # the setting itself is fixed once a session runs
+            sc._tickloom_dir = tempfile.mkdtemp(prefix="tickloom-llm-")
+        base = sc._tickloom_dir
     return f"{base.rstrip('/')}/tickloom-llm/{name}-{uuid.uuid4().hex}"
 
 
