@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("line_dedup", "packing", "suffix_dedup", "decontamination", "lm_scoring", "quality", "licenses", "sharding",
-           "chat", "near_dedup", "records", "vector_codes")
+           "chat", "near_dedup", "records", "vector_codes",
+           "alignment")
 
 
 def entries() -> dict:
