@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records, with a separate offset index for shuffled reads.
 
 A file is a run of frames: length (unsigned 64-bit), masked CRC-32C of those eight bytes, payload, masked CRC-32C
-of the payload, all little-endian. A payload is a flag (1: the document has an id), the doc_id and the token ids as
-unsigned 32-bit integers. After every block of frames stands a frame without payload; readers pass over it.
+of the payload, all little-endian. A payload is a flag (lowest bit: the document has an id), the width of an id in bytes,
+the doc_id and the token ids as unsigned integers of 16 bits where the vocabulary allows, else of 32. After every block of frames stands a frame without payload; readers pass over it.
 Texts are range-partitioned and sorted by doc_id, encoded in Arrow batches inside their partition, and
 written by Spark's own writer, whose commit leaves exactly one copy of every file when executors are lost. The text
 writer puts out raw bytes and ends each row with a separator: that separator is the empty frame, so
@@ -29,7 +29,7 @@ from tickloom.llm.words import WordCache, slices
 
 END_ID = 1
 FILE_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
-HEAD, HEAD_BYTES = "<Iq", 12
+HEAD, HEAD_BYTES = "<HHq", 12
 MASK = 0xA282EAD8
 #: CRC-32C (Castagnoli), reflected
 POLYNOMIAL = 0x82F63B78
@@ -143,8 +143,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 NOT_BLANK = frozenset("\x1c\x1d\x1e\x1f")
 
 
-def id_bytes(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 class WordIds:
@@ -159,10 +159,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = id_kind(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
         self.cache = WordCache(self.encoded)
 
     def encoded(self, words: list[str]) -> list[bytes]:
-        return [id_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         words = [[t] if not NOT_BLANK.isdisjoint(t) else t.split() for t in texts]
@@ -179,20 +180,21 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     shipped(spark)
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(text as string), '') as text")
-    # ids take about as many bytes as the text, so the files' number follows from a sum over the texts
+    # ids take no more bytes than the text, so the files' number follows from a sum over the texts
     total = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), "tie"]
     dealt = rows.withColumn("tie", F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(max(partitions(spark), -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder, end = WordIds(tokenizer), id_bytes([end_id])
+        encoder = WordIds(tokenizer)
+        end, width = np.array([end_id], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         block, size = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):
                 for doc_id, tokens in zip(ids[i:j], encoder.texts(texts[i:j])):
-                    block.append(struct.pack(HEAD, doc_id is not None, doc_id or 0) + tokens + end)
+                    block.append(struct.pack(HEAD, doc_id is not None, width, doc_id or 0) + tokens + end)
                     size += len(block[-1])
                     if size >= BLOCK_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([frames(block)], pa.binary())], ["value"])
@@ -223,8 +225,8 @@ def decoded(part: int, content: bytes, spans) -> dict:
     for s, e in spans:
         if s == e:
             continue
-        known, doc_id = struct.unpack_from(HEAD, content, s)
-        ids = content[s + HEAD_BYTES:e]
+        known, width, doc_id = struct.unpack_from(HEAD, content, s)
+        ids = np.frombuffer(content, f"<u{width}", (e - s - HEAD_BYTES) // width, s + HEAD_BYTES).astype("<u4").tobytes()
         for c, v in zip(out, (part, record, s - 12, e - s + 16, doc_id if known else None, len(ids) // 4, before, ids)):
             out[c].append(v)
         record += 1
@@ -243,7 +245,7 @@ def in_batches(cols: dict, rows: int = 2000):
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record in file order, checksums verified; ``before``: ids of the records before it in its file."""
+    """Every record in file order, ids widened to 32 bits, checksums verified; ``before``: ids of the records before it in its file."""
     def run(batches):
         for batch in batches:
             for part, content in zip(batch.column(0).to_pylist(), batch.column(1)):
