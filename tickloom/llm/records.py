@@ -16,7 +16,9 @@ A frame that is cut short or fails a checksum raises ``ValueError``.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 
 import numpy as np
@@ -139,36 +141,86 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: pipeline of a tokenizer whose pieces of simple texts a plain pattern finds; fixed values of its file
+PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: simple characters: ASCII and the letters of Latin-1, without the controls that only Python takes for blanks. Composition
+#: leaves them as they are, and they are letters, digits, blanks or neither by every version of Unicode
+SIMPLE = re.compile("[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: pieces that are encoded in one string
+TOGETHER = 200
 #: characters at which Python splits but the tokenizer does not
-NOT_BLANK = frozenset("\x1c\x1d\x1e\x1f")
+PYTHON_BLANK = re.compile("[\x1c-\x1f]")
 
 
 def id_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-class WordIds:
-    """Ids of texts by a tokenizer that drops white space, so that words can be encoded one by one.
-
-    Neither its added tokens nor its pieces hold white space, and its normalizer leaves every character beside white
-    space as it is elsewhere; a text with control characters that only Python takes for blanks is encoded whole.
-    """
+class TextIds:
+    """Ids of texts. With the known pipeline, each distinct piece of simple words is encoded once per task;
+    texts that hold an added token, and all texts of any other pipeline, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = id_kind(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
-        self.cache = WordCache(self.encoded)
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        parts = json.loads(self.tokenizer.to_str())
+        self.known = all(parts[k] == v for k, v in PIPELINE.items())
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.known &= not any(re.search(r"\s", t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        # the same merges over pieces that are set apart by spaces
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = id_kind(max(vocabulary.values()) + 1)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.known &= bool(suffix)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.cache = WordCache(self.of_pieces)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        runs = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        out = []
+        for run, e in zip(runs, self.pieces.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            if len(ends) != len(run):
+                raise ValueError("a piece does not end with the tokenizer's mark of word ends")
+            raw, width = ids.tobytes(), ids.itemsize
+            out.extend(raw[a * width:b * width] for a, b in zip([0, *ends], ends))
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if not NOT_BLANK.isdisjoint(t) else t.split() for t in texts]
-        get = self.cache.ensure(set().union(*words))
-        return [b"".join(map(get, w)) for w in words]
+        by_piece = [self.known and SIMPLE.fullmatch(t) is not None and not self.added.search(t) for t in texts]
+        pieces = [PIECES.findall(t.lower()) if p else [] for t, p in zip(texts, by_piece)]
+        get = self.cache.ensure(set().union(*pieces))
+        return [b"".join(map(get, w)) if p else self.mixed(t) for t, w, p in zip(texts, pieces, by_piece)]
+
+    def mixed(self, text: str) -> bytes:
+        """Ids of a text that is not simple: its simple words by their pieces, the others whole."""
+        if not self.known or self.added.search(text) or PYTHON_BLANK.search(text):
+            return self.whole([text])[0]
+        words = text.split()
+        simple = [SIMPLE.fullmatch(w) is not None for w in words]
+        pieces = [PIECES.findall(w.lower()) if s else [] for w, s in zip(words, simple)]
+        get = self.cache.ensure({p for ps in pieces for p in ps})
+        others = iter(self.whole([w for w, s in zip(words, simple) if not s]))
+        return b"".join(b"".join(map(get, p)) if s else next(others) for p, s in zip(pieces, simple))
 
 
 # ---- files -------------------------------------------------------------------------------------
@@ -187,7 +239,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     dealt = dealt.repartitionByRange(max(partitions(spark), -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder = WordIds(tokenizer)
+        encoder = TextIds(tokenizer)
         end, width = np.array([end_id], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         block, size = [], 0
         for batch in batches:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 #: bytes of words and values that a task keeps; beyond it the cache starts anew
 CACHE_BYTES = 96 << 20
@@ -12,7 +13,7 @@ ENTRY = 200
 
 
 class WordCache:
-    def __init__(self, values_of: Callable[[list[str]], Iterable], limit: int = CACHE_BYTES):
+    def __init__(self, values_of: Callable[[list[str]], list], limit: int = CACHE_BYTES):
         self.known: dict = {}
         self.values_of, self.limit, self.size = values_of, limit, 0
 
@@ -22,9 +23,10 @@ class WordCache:
             self.known, self.size = {}, 0
         missing = list(words - self.known.keys())
         if missing:
-            for w, v in zip(missing, self.values_of(missing)):
-                self.known[w] = v
-                self.size += ENTRY + len(w) + sum(len(x) for x in (v if isinstance(v, tuple) else (v,)))
+            values = self.values_of(missing)
+            self.known.update(zip(missing, values))
+            parts = values if isinstance(values[0], bytes) else chain.from_iterable(values)
+            self.size += ENTRY * len(missing) + sum(map(len, missing)) + sum(map(len, parts))
         return self.known.__getitem__
 
 
