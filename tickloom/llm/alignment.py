@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import reduce
 
 import numpy as np
@@ -54,11 +55,12 @@ def tokenizer_paths() -> tuple[str, str]:
 class Pair:
     """Both tokenizers, their ids' bytes, and alignments of words and texts."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, with_groups: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.with_groups = with_groups
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -68,18 +70,88 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.IsByte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
         self.width = len(pieces)
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.sizes_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
     def aligned(self, texts: list[str]) -> list[tuple | None]:
-        """For each text, whose first character is the space of the contract: (links, groups, counts), or None where bytes differ."""
-        out = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast(texts, add_special_tokens=False),
-                              self.b.encode([t[1:] for t in texts], num_threads=1)):
-            ids, raw = a.ids, text.encode()
-            chunks_a, chunks_b = [self.bytes_a[i] for i in ids], [self.bytes_b[i] for i in b]
-            out.append(links(ids, b, chunks_a, chunks_b, self.width)
-                       if b"".join(chunks_a) == raw == b"".join(chunks_b) else None)
+        """For each text, whose first character is the space of the contract: (links, groups, counts), or None where bytes differ.
+
+        Words are encoded many at a time: joined, each still begins at its space on both sides.
+        """
+        out: list = [None] * len(texts)
+        words = [i for i, t in enumerate(texts) if WORD.fullmatch(t)]
+        runs = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        joined = ["".join([texts[i] for i in run]) for run in runs]
+        alone = sorted(set(range(len(texts))).difference(words))
+        for run, text, a, b in zip(runs, joined, self.a.encode_batch_fast(joined, add_special_tokens=False),
+                                   self.b.encode([t[1:] for t in joined], num_threads=1)):
+            found = self.links([texts[i] for i in run], text.encode(), a.ids, b)
+            if found is None:
+                alone.extend(run)
+            else:
+                for i, x in zip(run, found):
+                    out[i] = x
+        whole = [texts[i] for i in alone]
+        for i, t, a, b in zip(alone, whole, self.a.encode_batch_fast(whole, add_special_tokens=False),
+                              self.b.encode([t[1:] for t in whole], num_threads=1)):
+            found = self.links([t], t.encode(), a.ids, b)
+            out[i] = found and found[0]
         return out
 
+    def links(self, texts: list[str], raw: bytes, a: list[int], b: list[int]) -> list[tuple] | None:
+        """(pair codes of all links, groups as text, counts) per text of a run, or None where the bytes of the run differ."""
+        if (b"".join(map(self.bytes_a.__getitem__, a)) != raw) or (b"".join(map(self.bytes_b.__getitem__, b)) != raw):
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        # every end on either side closes one link; ends of both close a group
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        twice = both[1:] == both[:-1]
+        ends, common = both[np.concatenate([~twice, [True]])], both[1:][twice]
+        pairs = (a[np.searchsorted(ends_a, ends)] * self.width + b[np.searchsorted(ends_b, ends)]).astype(np.uint32)
+        cut = np.cumsum([len(t.encode()) for t in texts])
+        n_a, n_b, n_groups, n_links = (np.searchsorted(x, cut, "right") for x in (ends_a, ends_b, common, ends))
+        counts = np.diff(np.stack([n_a, n_b, n_groups, n_links], 1), axis=0, prepend=0)
+        counts, codes = counts.astype(np.int64).tobytes(), pairs.tobytes()
+        last = (4 * n_links).tolist()
+        if not self.with_groups:
+            return [(codes[p:q], b"", counts[32 * i:32 * i + 32]) for i, (p, q) in enumerate(zip([0, *last], last))]
+        text, written = groups_text(a, b, ends_a, ends_b, common)
+        stop = written[n_a + n_b - 1].tolist()
+        return [(codes[p:q], text[x:y - 1], counts[32 * i:32 * i + 32])
+                for i, (p, q, x, y) in enumerate(zip([0, *last], last, [0, *stop], stop))]
+
+
+#: a space and a word that neither begins nor ends with a blank; words that are encoded together
+WORD = re.compile(r" \S(?:.*\S)?", re.DOTALL)
+TOGETHER = 400
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Ids of both sides by groups, each with its mark, and the number of characters up to every id."""
+    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    past_a, past_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
+    before_b = np.concatenate([[0], past_b[:-1]])
+    at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + past_a[group_b]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    mark[at_a[past_a - 1]], mark[at_b[past_b - 1]] = ord("|"), ord(";")
+    digits, size = decimals(ids)
+    digits[np.arange(len(ids)), size] = mark
+    text = digits[np.arange(digits.shape[1]) <= size[:, None]].tobytes()
+    written = np.cumsum(size + 1)
+    return text, written
+
+
+def decimals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of every id, left-aligned with room for one mark, and their number."""
+    size = np.searchsorted(10 ** np.arange(1, 10), ids, "right") + 1
+    digits = np.zeros((len(ids), int(size.max(initial=1)) + 1), np.uint8)
+    for k in range(digits.shape[1] - 1):
+        digits[:, k] = ids // 10 ** np.maximum(size - 1 - k, 0) % 10 + ord("0")
+    return digits, size
+
 
 def byte_alphabet(alphabet: list[str]) -> dict[str, int]:
     """Character to byte of the byte-level alphabet: printable bytes stand for themselves, the others follow in order."""
@@ -91,36 +163,11 @@ def byte_alphabet(alphabet: list[str]) -> dict[str, int]:
     return found
 
 
-def links(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes], width: int) -> tuple[bytes, bytes, bytes]:
-    """(pair codes of all links, groups as text, counts) of two token sequences over the same bytes."""
-    i = j = 0
-    end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
-    pairs, groups, first = [], [], (0, 0)
-    while True:
-        pairs.append(a[i] * width + b[j])
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first[0]:i + 1])) + "|" + ",".join(map(str, b[first[1]:j + 1])))
-            i, j = i + 1, j + 1
-            first = i, j
-            if i == len(a):
-                break
-            end_a += len(bytes_a[i])
-            end_b += len(bytes_b[j])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(bytes_a[i])
-        else:
-            j += 1
-            end_b += len(bytes_b[j])
-    counts = np.array([len(a), len(b), len(groups), len(pairs)], np.int64)
-    return np.array(pairs, np.uint32).tobytes(), ";".join(groups).encode(), counts.tobytes()
-
-
 class Aligner:
     """Alignments of texts by way of their words. ``finish`` turns an aligned word or text into what is kept of it."""
 
-    def __init__(self, paths: tuple[str, str], finish=lambda found: found):
-        self.pair, self.finish = Pair(*paths), finish
+    def __init__(self, paths: tuple[str, str], finish, with_groups: bool):
+        self.pair, self.finish = Pair(*paths, with_groups), finish
         self.cache = WordCache(self.of_words)
 
     def of_words(self, words: list[str]) -> list[tuple]:
@@ -214,7 +261,7 @@ def task_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        aligner = Aligner(paths, lambda found: [(f[0],) for f in found])
+        aligner = Aligner(paths, lambda found: [(f[0],) for f in found], with_groups=False)
         keys, counts, held = [], [], 0
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -368,9 +415,11 @@ def looked_up(docs: DataFrame, paths: tuple[str, str], rows: list, tops: np.ndar
             best = ((counts == tops[distinct // np.uint32(width)]) & (counts > 0))[back]
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             best, total = np.add.reduceat(best.astype(np.int64), first), np.add.reduceat(counts[back], first)
-            return [(f[1], f[2] + np.array([x, y], np.int64).tobytes()) for f, x, y in zip(found, best, total)]
+            shape = np.frombuffer(b"".join(f[2] for f in found), np.int64).reshape(-1, 4)
+            numbers = np.concatenate([shape, best[:, None], total[:, None]], 1).tobytes()
+            return [(f[1], numbers[48 * i:48 * i + 48]) for i, f in enumerate(found)]
 
-        aligner = Aligner(paths, finish)
+        aligner = Aligner(paths, finish, with_groups=True)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             groups, numbers = [], np.zeros((len(texts), 6), np.int64)
@@ -380,10 +429,7 @@ def looked_up(docs: DataFrame, paths: tuple[str, str], rows: list, tops: np.ndar
                         groups.append("")
                         continue
                     numbers[k] = np.frombuffer(b"".join(w[1] for w in v), np.int64).reshape(-1, 6).sum(0)
-                    digest = hashlib.sha256()
-                    for n, w in enumerate(v):
-                        digest.update(b";" + w[0] if n else w[0])
-                    groups.append(digest.hexdigest())
+                    groups.append(hashlib.sha256(b";".join([w[0] for w in v])).hexdigest())
             numbers[:, 4] += np.asarray(batch.column(2))
             numbers[:, 5] += np.asarray(batch.column(3))
             yield pa.RecordBatch.from_arrays(

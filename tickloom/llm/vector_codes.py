@@ -84,7 +84,7 @@ def assigned(state: DataFrame, books: np.ndarray, moved: np.ndarray | None) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column(2), parts * length).reshape(-1, parts, length)
+            v = matrix(batch.column(2), parts * length).reshape(batch.num_rows, parts, length)
             if moved is not None:
                 old, far = matrix(batch.column(3), parts), matrix(batch.column(4), parts)
             codes, distances = np.empty(v.shape[:2], np.int32), np.empty(v.shape[:2], np.int64)
@@ -111,7 +111,7 @@ def entry_sums(state: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column(0), parts * length).reshape(-1, length)
+            v = matrix(batch.column(0), parts * length).reshape(batch.num_rows * parts, length)
             at = (matrix(batch.column(1), parts) + np.arange(parts) * entries).ravel()
             np.add.at(sums, at, v)
             n += np.bincount(at, minlength=len(n))
@@ -136,7 +136,7 @@ def quantize(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
              scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, label, code, distance) of every kept vector, and the final codebooks (part, entry, position)."""
     kept = stored(integer_vectors(rows, scale), "vectors")
-    width, top = kept.agg(F.max(F.size("v")), F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()
+    width, top = kept.agg(F.max(F.size("v")), F.max(F.expr("array_max(transform(v, x -> abs(cast(x as double))))"))).first()
     length = -(-(width or 0) // parts)
     if 4 * parts * length * (top or 0) ** 2 >= 1 << 63:
         raise ArithmeticError(f"components up to {top} have squared distances beyond a long")
