@@ -194,10 +194,15 @@ def aligned(rows):
     import sentencepiece
     from tokenizers import Tokenizer, pre_tokenizers
 
-    path_a, path_b = alignment.tokenizer_paths()
-    a_side, b_side = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    import public_tokenizers
+
+    a_side = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    b_side = sentencepiece.SentencePieceProcessor(model_file=alignment.tokenizer_paths()[1])
     a_side.encode_special_tokens = True
-    letter = alignment.byte_alphabet(pre_tokenizers.ByteLevel.alphabet())
+    # printable bytes stand for themselves, the others follow from 256 on
+    itself = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letter = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in itself)}
+    assert set(letter) == set(pre_tokenizers.ByteLevel.alphabet())
     seen, found = Counter(), []
     for did, t in rows:
         found.append((did, None))
@@ -241,9 +246,8 @@ def test_pair_table(spark, docs):
     got = alignment.pair_table(spark, alignment.pair_counts(docs, paths), alignment.vocabulary(paths)[1]).collect()
     texts = [r.text for r in docs.collect() if r.text]
     pair, want = alignment.Pair(*paths), Counter()
-    for found in pair.aligned([" " + t for t in texts]):
-        if found:
-            want.update(set(np.frombuffer(found[0], np.uint32).tolist()))
+    for t in texts:
+        want.update(set(pair.aligned([" " + t])[1].pairs.tolist()))
     assert {(r.a * pair.width + r.b): r.n_docs for r in got} == want and len(got) == len(want)
 
 
