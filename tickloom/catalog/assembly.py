@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.features import CHAN_SMALL, FAR, MATRIX_KEEP, day_anchors, matrix_ctes, stores
-from tickloom.catalog.labels import daily_sql, labels_1d
+from tickloom.catalog.features import CAP_INTRA, CHAN_SMALL, FAR, MATRIX_KEEP, day_anchors, matrix_ctes, matrix_sql, stored_stores, stores
+from tickloom.catalog.labels import daily_sql, intraday_sql, labels_1d, q_tradeable, tradeable_sql
 from tickloom.catalog.oraclebase import oracle, r
 from tickloom.catalog.tables import rounded
-from tickloom.functions import clock
+from tickloom.functions import clock, shapes
 from tickloom.operators.asof import asof
-from tickloom.plans import cohort as co, crosssection as cs, features as ft, metrics as mt, models as md, strategy as st
+from tickloom.plans import cohort as co, crosssection as cs, features as ft, labels as lb, metrics as mt, models as md, strategy as st
 from tickloom.sources import dimensions as dm, marketviews as mv
 
 WIN = {"5m": 8, "15m": 6, "60m": 4, "day": 5}
@@ -56,6 +56,70 @@ CROSS_SQL = oracle(f"""SELECT t, symbol, y, {r('(row_number() OVER (PARTITION BY
                    + " ".join(f"ASOF JOIN w_{k} x{k} ON x{k}.symbol = a.symbol AND a.t > x{k}.eff_close" for k in WIN) + " ASOF JOIN vv ON vv.symbol = a.symbol AND a.t > vv.eff_close")
 
 
+# ---- the other horizons, with auxiliary features, book windows and tradeable labels
+AUX_SHOWN = (0, 9)
+
+
+def digest(rows):
+    """First and last close and the summed volume of every window."""
+    return [c for k in WIN for c in (F.col(f"w_{k}")[0]["close"].cast("double").alias(f"first_{k}"),
+                                     F.element_at(f"w_{k}", -1)["close"].cast("double").alias(f"last_{k}"),
+                                     F.aggregate(f"w_{k}", F.lit(0.0), lambda a, x: a + x["volume"]).alias(f"volume_{k}"))]
+
+
+def q_cross_intraday(h, returns):
+    def run(s, d):
+        st_ = stored_stores(s, d)
+        aux = ft.aux_features(st_, as_of=FAR, window_bars=CHAN_SMALL, precise=True, by_number=True)
+        rows = cs.cross_sections(lb.intraday_labels(mv.bars_5m(s, d), h, as_of=CAP_INTRA), st_, horizon=h, window_bars=WIN,
+                                 channels=("close", "volume"), vol_returns=returns, aux=aux, tradeable=q_tradeable(s, d))
+        out = rows.select("t", "symbol", "y", "rank", F.col("vol_bucket").cast("int").alias("vol_bucket"), "vol", *digest(rows),
+                          *[f"f_{i}" for i in AUX_SHOWN], "tradeable_label", "tradeable_valid")
+        return rounded(out, 5)
+    return run
+
+
+def q_cross_book(s, d):
+    book = mv.book_for_stocks(s, d).select("symbol", "ts", shapes.microprice().alias("f_0"))
+    rows = cs.cross_sections(labels_1d(s, d, "2d"), stored_stores(s, d), horizon="2d", window_bars=WIN, channels=("close", "volume"),
+                             vol_returns=12, book=book, book_k=3, book_stale_minutes=360, book_channels=("f_0",))
+    out = rows.select("t", "symbol", "y", "rank", F.col("vol_bucket").cast("int").alias("vol_bucket"), "vol", *digest(rows), "book_mask",
+                      F.col("book_window")[0]["f_0"].cast("double").alias("oldest"), F.element_at("book_window", -1)["f_0"].cast("double").alias("newest"))
+    return rounded(out, 5, oldest=3, newest=3)
+
+
+def cross_sql(labels: str, vol_scale: str, returns: int, columns: str = "", joins: str = "", kept: str = "") -> str:
+    """Cross-sections in SQL: ``columns`` and ``joins`` add to the matched rows, ``kept`` to the result."""
+    ctes = {k: v for k, v in windows_ctes().items() if k != "vv"}
+    minutes = clock.SCALE_MINUTES.get(vol_scale, 0)
+    ctes["vv"] = f"""SELECT * FROM (SELECT symbol, ts + to_minutes({minutes}) AS eff_close, CASE WHEN count(lr) OVER f = {returns} THEN stddev_samp(lr) OVER f END AS vol FROM (
+  SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM st_{vol_scale}) WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {returns - 1} PRECEDING AND CURRENT ROW)) WHERE vol IS NOT NULL"""
+    shown = ", ".join(f"{r(f'first_{k}', 5)} AS first_{k}, {r(f'last_{k}', 5)} AS last_{k}, {r(f'volume_{k}', 5)} AS volume_{k}" for k in WIN)
+    return oracle(f"""SELECT t, symbol, y, {r('(row_number() OVER (PARTITION BY t ORDER BY y, symbol) - 1) / greatest(n - 1, 1)::DOUBLE', 5)} AS rank,
+  CAST(CASE WHEN mn = mx THEN 2 ELSE len(list_filter(e, lambda x: x <= vol)) END AS INTEGER) AS vol_bucket, {r('vol', 5)} AS vol, {shown}{kept}
+  FROM cr JOIN (SELECT t, count(*) AS n, min(vol) AS mn, max(vol) AS mx, quantile_cont(vol, [0.2, 0.4, 0.6, 0.8]) AS e FROM cr GROUP BY t) USING (t) WHERE n >= 10""",
+                  **ctes, lab=labels, cr="SELECT a.symbol, a.t, a.y_log_return AS y, vv.vol, "
+                  + ", ".join(f"x{k}.first_c AS first_{k}, x{k}.last_c AS last_{k}, x{k}.vol_c AS volume_{k}" for k in WIN) + columns
+                  + " FROM (SELECT * FROM lab WHERE valid_label) a "
+                  + " ".join(f"ASOF JOIN w_{k} x{k} ON x{k}.symbol = a.symbol AND a.t > x{k}.eff_close" for k in WIN)
+                  + " ASOF JOIN vv ON vv.symbol = a.symbol AND a.t > vv.eff_close" + joins)
+
+
+def cross_intraday_sql(h, returns):
+    aux = matrix_sql(ft.AUX_FEATURES, "SELECT symbol, ts + INTERVAL 5 MINUTE AS anchor_ts FROM st_5m", {k: f"f_{i}" for i, k in enumerate(ft.AUX_FEATURES)})
+    return cross_sql(intraday_sql(h), "5m", returns, "".join(f", ax.f_{i}" for i in AUX_SHOWN) + ", coalesce(tl.tradeable_label, 0)::TINYINT AS tradeable_label, coalesce(tl.valid_label, false) AS tradeable_valid",
+                     f" JOIN ({aux}) ax ON ax.symbol = a.symbol AND ax.anchor_ts = a.t LEFT JOIN ({tradeable_sql()}) tl ON tl.symbol = a.symbol AND tl.t = a.t",
+                     "".join(f", {r(f'f_{i}', 5)} AS f_{i}" for i in AUX_SHOWN) + ", tradeable_label, tradeable_valid")
+
+
+CROSS_BOOK_SQL = cross_sql(daily_sql(2), "day", 12, ", bk.ok AS book_mask, bk.o AS oldest, bk.f AS newest",
+                           """ LEFT JOIN (SELECT q.symbol, q.t, coalesce(k >= 3 AND q.t - INTERVAL 360 MINUTE <= b.ts, false) AS ok, o, f FROM lab q ASOF LEFT JOIN (
+  SELECT symbol, ts, f, lag(f, 2) OVER w AS o, row_number() OVER w AS k FROM (SELECT symbol, ts,
+    ((bid1_qty * ask1_price + ask1_qty * bid1_price) / (bid1_qty + ask1_qty + 1e-9::DOUBLE))::REAL::DOUBLE AS f FROM sbook) WINDOW w AS (PARTITION BY symbol ORDER BY ts)) b
+  ON b.symbol = q.symbol AND q.t > b.ts) bk ON bk.symbol = a.symbol AND bk.t = a.t""",
+                           f", book_mask, CASE WHEN book_mask THEN {r('oldest', 3)} END AS oldest, CASE WHEN book_mask THEN {r('newest', 3)} END AS newest")
+
+
 def q_snapshots(s, d):
     f = ft.book_features(mv.book(s, d))
     anchors = f.select("symbol", F.date_trunc("hour", F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("t")).distinct()
@@ -75,18 +139,22 @@ def snapshots_sql():
   FROM (SELECT DISTINCT symbol, date_trunc('hour', ts + INTERVAL 1 HOUR) AS t FROM bf) a ASOF LEFT JOIN wn w ON w.symbol = a.symbol AND a.t > w.ts)"""
 
 
-# ---- cohorts: anchors on a half-hour grid of every session
+# ---- cohorts: anchors every five minutes of every session that has bars
+GRID_START, GRID_END = 560, 925
+
+
 def grid(s, d):
-    return co.anchor_grid(mv.calendar(s, d).filter(F.col("trade_date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-02-16").cast("date"))),
-                          start=560, end=920, step=60)
+    days = mv.bars_5m(s, d).select(clock.exchange_date(F.col("ts")).alias("trade_date")).distinct()
+    return co.anchor_grid(days, start=GRID_START, end=GRID_END, step=5)
 
 
-def cohort_rows(s, d):
+def cohort_rows(s, d, channels=None):
     st_ = {k: mv.bars(s, d, k) for k in ("5m", "15m")}
-    return co.assemble(grid(s, d), mv.bars_5m(s, d), st_, mv.calendar(s, d), window_bars={"5m": 6, "15m": 4})
+    return co.assemble(grid(s, d), mv.bars_5m(s, d), st_, mv.calendar(s, d), window_bars={"5m": 6, "15m": 4}, channels=channels)
 
 
-GRID = """SELECT CAST(trade_date AS TIMESTAMP) + to_minutes(m - 330) AS t, trade_date AS d, m FROM cal, (SELECT unnest(range(560, 921, 60)) AS m) WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-02-16'"""
+GRID = f"""SELECT CAST(d AS TIMESTAMP) + to_minutes(m - 330) AS t, d, m FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM bars_5m),
+  (SELECT unnest(range({GRID_START}, {GRID_END + 1}, 5)) AS m)"""
 H = co.HORIZONS
 ENDS = " UNION ALL ".join(
     f"SELECT t, {i} AS head, " + (
@@ -96,8 +164,11 @@ ENDS = " UNION ALL ".join(
     for i, (name, kind, n, ahead) in enumerate(H))
 COHORT = {
     "gr": GRID, "ends": ENDS, "cl": "SELECT symbol, ts + INTERVAL 5 MINUTE AS at, close FROM bars_5m",
-    "al": """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM (SELECT cl.symbol, gr.t, gr.d, gr.m, cl.close AS c0 FROM gr JOIN cl ON cl.at = gr.t
-  WHERE (SELECT count(*) FROM bars_5m b WHERE b.symbol = cl.symbol AND b.ts + INTERVAL 5 MINUTE <= gr.t) >= 6 AND (SELECT count(*) FROM bars_15m b WHERE b.symbol = cl.symbol AND b.ts + INTERVAL 15 MINUTE <= gr.t) >= 4)) WHERE n >= 10""",
+    "n15": "SELECT symbol, ts + INTERVAL 15 MINUTE AS at15, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k15 FROM bars_15m",
+    "here": """SELECT c.symbol, gr.t, gr.d, gr.m, c.close AS c0, k5 FROM gr
+  JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY cl.at) AS k5 FROM cl) c ON c.at = gr.t""",
+    "al": """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM (SELECT h.* FROM here h ASOF JOIN n15 ON n15.symbol = h.symbol AND h.t >= n15.at15
+  WHERE k5 >= 6 AND k15 >= 4)) WHERE n >= 10""",
     "ys": "SELECT al.t, al.symbol, head, ln(cl.close / c0)::REAL AS y FROM al JOIN ends USING (t) JOIN cl ON cl.symbol = al.symbol AND cl.at = ep",
 }
 
@@ -152,14 +223,20 @@ def q_same_stock(s, d):
     return co.same_stock_pairs(fact_rows(s, d), per_stock=10, min_days=2, max_days=15, seed=7).drop("pair_type")
 
 
-SAME_SQL = oracle("""SELECT c.stock AS stock_a, c.us AS anchor_a_us, c.stock AS stock_b, q.us AS anchor_b_us, 1.0::DOUBLE AS cosine, c.sid AS sector_id_a, c.sid AS sector_id_b FROM (
+SAME_BODY = """SELECT c.stock AS stock_a, c.us AS anchor_a_us, c.stock AS stock_b, q.us AS anchor_b_us, 1.0::DOUBLE AS cosine, c.sid AS sector_id_a, c.sid AS sector_id_b FROM (
   SELECT *, pos + near + CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % m AS pp FROM (SELECT *, row_number() OVER (PARTITION BY stock ORDER BY h) AS p FROM (SELECT *, md5('7|' || stock || '|' || us) AS h FROM ps WHERE m > 0)) WHERE p <= 10) c
-  JOIN ps q ON q.stock = c.stock AND q.pos = c.pp""", **FACT, ps="""SELECT *, row_number() OVER w AS pos, count(*) OVER (w RANGE BETWEEN CURRENT ROW AND 172799999999 FOLLOWING) AS near,
-  count(*) OVER (w RANGE BETWEEN 172800000000 FOLLOWING AND 1296000000000 FOLLOWING) AS m FROM fn WINDOW w AS (PARTITION BY stock ORDER BY us)""")
+  JOIN ps q ON q.stock = c.stock AND q.pos = c.pp"""
+SAME_PS = """SELECT *, row_number() OVER w AS pos, count(*) OVER (w RANGE BETWEEN CURRENT ROW AND 172799999999 FOLLOWING) AS near,
+  count(*) OVER (w RANGE BETWEEN 172800000000 FOLLOWING AND 1296000000000 FOLLOWING) AS m FROM fn WINDOW w AS (PARTITION BY stock ORDER BY us)"""
+SAME_SQL = oracle(SAME_BODY, **FACT, ps=SAME_PS)
+PAIR_WINDOWS_SQL = oracle(
+    SAME_BODY.replace("SELECT c.stock AS stock_a, c.us AS anchor_a_us, c.stock AS stock_b, q.us AS anchor_b_us, 1.0::DOUBLE AS cosine, c.sid AS sector_id_a, c.sid AS sector_id_b",
+                      f"SELECT c.stock AS stock_a, c.us AS anchor_a_us, q.us AS anchor_b_us, {r('a.c0')} AS c0_a, {r('b.c0')} AS c0_b, 6 AS n_a, 6 AS n_b")
+    + " JOIN al a ON a.symbol = c.stock AND epoch_us(a.t) = c.us JOIN al b ON b.symbol = q.stock AND epoch_us(b.t) = q.us", **FACT, ps=SAME_PS)
 
 
 def q_pair_windows(s, d):
-    rows = cohort_rows(s, d)
+    rows = cohort_rows(s, d, ("close",))
     pairs = co.same_stock_pairs(co.facts(rows, dm.with_sector_ids(mv.symbol_master(s, d))), per_stock=10, min_days=2, max_days=15, seed=7)
     out = co.pair_windows(pairs, rows, ["c0", "w_5m"])
     return rounded(out.select("stock_a", "anchor_a_us", "anchor_b_us", "c0_a", "c0_b", F.size("w_5m_a").alias("n_a"), F.size("w_5m_b").alias("n_b")))
@@ -227,7 +304,7 @@ WEIGHTS = (0.5, -0.25)
 
 
 def q_batch(s, d):
-    rows = cohort_rows(s, d).withColumn("last", F.element_at("w_5m", -1)["close"].cast("double")).withColumn("first", F.col("w_5m")[0]["close"].cast("double"))
+    rows = cohort_rows(s, d, ("close",)).withColumn("last", F.element_at("w_5m", -1)["close"].cast("double")).withColumn("first", F.col("w_5m")[0]["close"].cast("double"))
     heads = [h[0] for h in H]
 
     def linear(batch):
@@ -247,13 +324,16 @@ QUERIES = {
     "asof_strict": (q_asof(True), asof_sql(">")),
     "asof_inclusive": (q_asof(False), asof_sql(">=")),
     "cross_sections_1d": (q_cross, CROSS_SQL),
+    "cross_sections_30m": (q_cross_intraday("30m", 78), cross_intraday_sql("30m", 78)),
+    "cross_sections_120m": (q_cross_intraday("120m", 156), cross_intraday_sql("120m", 156)),
+    "cross_sections_2d_book": (q_cross_book, CROSS_BOOK_SQL),
     "snapshot_windows": (q_snapshots, snapshots_sql()),
     "horizon_endpoints": (q_endpoints, oracle("SELECT t, head, ep AS endpoint FROM ends WHERE ep IS NOT NULL", gr=GRID, ends=ENDS)),
     "cohort_labels": (q_cohort, COHORT_SQL),
     "cohort_regime": (q_regime, REGIME_SQL),
     "sector_pairs": (q_sector_pairs, PAIRS_SQL),
     "same_stock_pairs": (q_same_stock, SAME_SQL),
-    "pair_windows": (q_pair_windows, None),
+    "pair_windows": (q_pair_windows, PAIR_WINDOWS_SQL),
     "horizon_weighted_sample": (q_horizon_sample, HS_SQL),
     "per_day_sample": (q_day_sample, oracle("""SELECT symbol, ts AS anchor_ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY md5('11|' || symbol || '|' || epoch_us(ts))) AS p FROM bars_5m) WHERE p <= 5""")),
     "regime_weighted_windows": (q_window_sample, oracle(f"""SELECT symbol, ts, {r('close')} AS close, {r('lc')} AS last_close FROM (SELECT *, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS lc FROM bars_day) WHERE lc IS NOT NULL

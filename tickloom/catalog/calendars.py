@@ -33,6 +33,26 @@ SHIFT_SQL = oracle(" UNION ALL ".join(
                  (1, "coalesce(civ.idx + 1, next_idx)"), (3, "coalesce(civ.idx + 3, next_idx + 2)"))), civ=CIVIL)
 
 
+def q_far(s, d):
+    """Dates up to eleven years beyond either end of the calendar."""
+    cal = mv.calendar(s, d)
+    days = mv.table(s, d, "orders").select(F.to_date("o_orderdate").alias("d"), (F.col("o_orderkey") % 3 - 1).cast("int").alias("k")).select(
+        F.date_add("d", F.col("k") * 4000).alias("day")).distinct()
+    out = td.navigation(cal, dates=days, as_of=F.lit("2000-06-30").cast("date"))
+    for n, name in ((-3, "three_back"), (2, "two_on")):
+        moved = td.shift_table(cal, n, dates=days, as_of=F.lit("2000-06-30").cast("date"))
+        out = out.join(moved.withColumnRenamed("target", name), "day", "left")
+    return out
+
+
+FAR_SQL = oracle("""SELECT day, k.idx IS NOT NULL AS is_trading, (SELECT min(trade_date) FROM known WHERE trade_date > day) AS next_day,
+  (SELECT max(trade_date) FROM known WHERE trade_date < day) AS prev_day,
+  (SELECT trade_date FROM cal c WHERE c.idx = (SELECT count(*) FROM cal x WHERE x.trade_date < day) - 3) AS three_back,
+  (SELECT trade_date FROM known c WHERE c.idx = (SELECT count(*) FROM cal x WHERE x.trade_date <= day) + 1) AS two_on
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) + CAST((o_orderkey % 3 - 1) * 4000 AS INTEGER) AS day FROM orders) LEFT JOIN known k ON k.trade_date = day""",
+                 known="SELECT * FROM cal WHERE trade_date <= DATE '2000-06-30'")
+
+
 def q_count(s, d):
     pairs = mv.table(s, d, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("start")).withColumn(
@@ -48,13 +68,13 @@ COUNT_SQL = oracle("""SELECT o_orderkey, s AS start, e AS "end",
 
 def q_folds(s, d):
     return td.walk_forward(mv.calendar(s, d), first_test_end=F.lit("1996-09-01").cast("date"),
-                           last_test_end=F.lit("2001-01-15").cast("date"), embargo=5, val=30, test=20, roll=40)
+                           embargo=5, val=30, test=20, roll=20)
 
 
 FOLDS_SQL = oracle("""SELECT 'fold_' || e.trade_date AS name, t0.trade_date AS train_start, te.trade_date AS train_end, vs.trade_date AS val_start,
   ve.trade_date AS val_end, ts.trade_date AS test_start, e.trade_date AS test_end, 5 AS embargo_days
   FROM cal e, (SELECT min(idx) AS f FROM cal WHERE trade_date >= DATE '1996-09-01') b, (SELECT * FROM cal WHERE idx = 0) t0, cal te, cal vs, cal ve, cal ts
-  WHERE e.idx >= f AND e.trade_date <= DATE '2001-01-15' AND (e.idx - f) % 40 = 0 AND ts.idx = e.idx - 19 AND ve.idx = ts.idx - 6
+  WHERE e.idx >= f AND (e.idx - f) % 20 = 0 AND ts.idx = e.idx - 19 AND ve.idx = ts.idx - 6
     AND vs.idx = ve.idx - 29 AND te.idx = vs.idx - 6""")
 
 
@@ -89,6 +109,7 @@ QUERIES = {
         """SELECT day, civ.idx IS NOT NULL AS is_trading, a.trade_date AS next_day, b.trade_date AS prev_day
   FROM civ LEFT JOIN cal a ON a.idx = next_idx LEFT JOIN cal b ON b.idx = prev_idx""", civ=CIVIL)),
     "calendar_shift": (q_shift, SHIFT_SQL),
+    "calendar_far_dates": (q_far, FAR_SQL),
     "trading_days_between": (q_count, COUNT_SQL),
     "walk_forward_folds": (q_folds, FOLDS_SQL),
     "fold_assignment": (q_assign, _with_bars_day(ASSIGN_SQL)),

@@ -7,7 +7,7 @@ from tickloom.catalog.features import CAP_DAY, FAR
 from tickloom.catalog.labels import daily_sql, labels_1d, q_tradeable, tradeable_sql
 from tickloom.catalog.oraclebase import oracle, r
 from tickloom.catalog.tables import rounded
-from tickloom.operators import ranking
+from tickloom.operators import ranking, tradingdays as td
 from tickloom.plans import conformal as cf, features as ft, gates, metrics as mt
 from tickloom.sources import marketviews as mv
 
@@ -212,7 +212,7 @@ def fold_results(s, d):
                       ((no * 7919 + day * (104729 + 31 * k)) % 1009).cast("double").alias("score")) for k in (1, 2, 3)]
     modes = F.explode(F.array(F.struct(F.lit("ssl_heads").alias("mode"), F.lit(0).alias("seed"), F.col("pred_lr").alias("score")),
                               F.struct(F.lit("xgboost").alias("mode"), F.lit(0).alias("seed"), F.col("vol").alias("score")), *noise))
-    rows = p.join(folds, F.col("date").between(F.col("lo"), F.col("hi"))).select(
+    rows = td.by_interval(p, folds, "date").select(
         F.col("name").alias("fold_id"), "horizon", "date", "stock", "real_lr", modes.alias("m")).select(
         "fold_id", "horizon", "date", "stock", "real_lr", "m.mode", "m.seed", "m.score")
     per = mt.rank_ic_by_group(rows, ["fold_id", "horizon", "mode", "seed", "date"], "score")
@@ -243,7 +243,7 @@ FOLD_CTES = dict(
 def fold_coverage(s, d):
     rows = quantile_rows(s, d).select("horizon", "date", "y", F.col("q10").alias("band_lo"), F.col("q90").alias("band_hi"))
     folds = calendars.q_folds(s, d).select("name", F.col("test_start").alias("lo"), F.col("test_end").alias("hi"))
-    return cf.coverage(rows.join(folds, F.col("date").between(F.col("lo"), F.col("hi"))), ["horizon", "name"])
+    return cf.coverage(td.by_interval(rows, folds, "date"), ["horizon", "name"])
 
 
 COVF = "SELECT horizon, name, avg((y BETWEEN q10 AND q90)::INT) AS coverage FROM qr JOIN folds ON date BETWEEN test_start AND test_end GROUP BY ALL"

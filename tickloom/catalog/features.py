@@ -7,6 +7,7 @@ from tickloom.catalog.tables import rounded
 from tickloom.functions import clock, shapes
 from tickloom.operators.series import over_series
 from tickloom.plans import features as ft
+from tickloom.session import stored
 from tickloom.sources import marketviews as mv
 
 CAP_DAY = "2000-06-30 10:00:00"
@@ -81,6 +82,11 @@ def stores(s, d, cap=FAR):
     return {sc: ft.feature_store(mv.bars(s, d, sc), scale=sc, as_of=cap) for sc in clock.SCALES}
 
 
+def stored_stores(s, d):
+    """The feature stores as tables, as a pipeline keeps them: plans that read them several times derive them once."""
+    return {sc: stored(df, f"features-{sc}") for sc, df in stores(s, d).items()}
+
+
 def summary_sql(scale: str, n: int, source: str, channels=ft.CHANNELS) -> str:
     cols = []
     for ch in channels:
@@ -139,6 +145,53 @@ def q_aux(s, d):
     return rounded(out, 6, **{f"f_{i}": digits_for(k) for i, k in enumerate(ft.AUX_FEATURES)})
 
 
+# ---- the full matrix: 457 columns at full window lengths, reported as one weighted whole number per (scale, statistic)
+#: channels with values near one get six decimals, prices and volumes two; the offset keeps averages off rounding ties
+FINE, COARSE, OFFSET = 1e6, 1e2, 1.7e-6
+
+
+def digest_terms(scale: str):
+    """(statistic, [(column, weight, factor)]) so that every column counts with a weight of its own."""
+    stats = {stat: [] for stat in ft.SUMMARY}
+    for i, ch in enumerate(ft.CHANNELS):
+        for stat in ft.SUMMARY:
+            factor = 1e3 if stat == "trend" else COARSE if i < 5 else FINE
+            stats[stat].append((f"{scale}__{ch}__{stat}", 2 * i + 1, factor))
+    if scale == "5m":
+        stats["raw"] = [(f"5m__{ch}__last5_b{k}", 2 * (5 * i + k) + 1, COARSE) for i, ch in enumerate(ft.CHANNELS[:5]) for k in range(5)]
+    return stats
+
+
+def whole_number(c, factor: float):
+    return F.round(c * factor + OFFSET).cast("long")
+
+
+def q_full_matrix(s, d):
+    wide = ft.full_anchor_matrix(stored_stores(s, d), day_anchors(s, d), as_of=FAR)
+    signed = lambda n: F.signum(n) * F.log1p(F.abs(n)) if n.endswith("__trend") else F.col(n)
+    out = []
+    for sc in clock.SCALES:
+        for stat, terms in digest_terms(sc).items():
+            total = sum((whole_number(signed(n), f) * w for n, w, f in terms[1:]), whole_number(signed(terms[0][0]), terms[0][2]) * terms[0][1])
+            out.append(total.alias(f"{stat}_{sc}"))
+    return wide.select("symbol", "anchor_ts", *out)
+
+
+def full_matrix_sql():
+    joins = " ".join(f"ASOF JOIN su_{sc} AS s_{sc} ON a.symbol = s_{sc}.symbol AND a.anchor_ts > s_{sc}.eff_close" for sc in clock.SCALES)
+    src = lambda k: f's_{k.split("__", 1)[0]}.{k.split("__", 1)[1]}'
+    val = lambda k: f"sign({src(k)}) * ln(1 + abs({src(k)}))" if k.endswith("__trend") else src(k)
+    whole = lambda k, f: f"CAST(round({val(k)} * {f:.0f}.0::DOUBLE + {OFFSET}::DOUBLE) AS BIGINT)"
+    cols = [" + ".join(f"{whole(k, f)} * {w}" for k, w, f in terms) + f" AS {stat}_{sc}"
+            for sc in clock.SCALES for stat, terms in digest_terms(sc).items()]
+    ctes = {}
+    for sc in clock.SCALES:
+        ctes[f"st_{sc}"] = store_sql(sc, FAR)
+        ctes[f"su_{sc}"] = summary_sql(sc, ft.WINDOW_BARS[sc], f"st_{sc}")
+    ok = " AND ".join(f"{src(k)} IS NOT NULL" for k in ft.matrix_columns())
+    return oracle(f"SELECT a.symbol, a.anchor_ts, {', '.join(cols)} FROM (SELECT symbol, ts AS anchor_ts FROM bars_day) a {joins} WHERE {ok}", **ctes)
+
+
 def q_rolling(s, d):
     st = ft.feature_store(mv.bars(s, d, "15m"), scale="15m", as_of=FAR)
     out = ft.rolling_summary(st, scale="15m", window_bars=12, channels=("close", "volume", "ret_1"))
@@ -264,6 +317,7 @@ QUERIES = {
         "SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in ALL) + " FROM f", f=feature_sql("day", CAP_DAY))),
     "rolling_summary_15m": (q_rolling, rolling_sql()),
     "anchor_matrix": (q_matrix, matrix_sql(MATRIX_KEEP)),
+    "anchor_matrix_full": (q_full_matrix, full_matrix_sql()),
     "aux_features": (q_aux, matrix_sql(
         ft.AUX_FEATURES, "SELECT symbol, ts + INTERVAL 5 MINUTE AS anchor_ts FROM st_5m",
         {k: f"f_{i}" for i, k in enumerate(ft.AUX_FEATURES)})),

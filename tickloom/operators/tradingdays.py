@@ -16,33 +16,25 @@ def indexed(days: DataFrame) -> DataFrame:
 
 
 def civil_days(days: DataFrame, margin: int = 40) -> DataFrame:
-    """Every civil day around the calendar with the index of itself, the next and the
-    previous trading day (``idx`` is null on a closed day)."""
-    idx = indexed(days)
-    span = idx.agg(F.date_sub(F.min("trade_date"), margin).alias("lo"),
+    """``day``: every civil day of the calendar and around it."""
+    span = days.agg(F.date_sub(F.min("trade_date"), margin).alias("lo"),
                    F.date_add(F.max("trade_date"), margin).alias("hi"))
-    every = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    w = Window.orderBy("day")
-    return (every.join(idx, every["day"] == idx["trade_date"], "left").select("day", "idx")
-            .withColumn("next_idx", F.min("idx").over(w.rowsBetween(1, Window.unboundedFollowing)))
-            .withColumn("prev_idx", F.max("idx").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    return span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
 
 
-def shift_table(days: DataFrame, n: int, *, as_of: Column | None = None) -> DataFrame:
+def shift_table(days: DataFrame, n: int, *, as_of: Column | None = None, dates: DataFrame | None = None) -> DataFrame:
     """``day -> target``: the trading day ``n`` steps away.
 
     From a closed day the snap to the neighbouring trading day is the first step;
-    ``n = 0`` keeps trading days only.  Targets after ``as_of`` are absent.
+    ``n = 0`` keeps trading days only.  Targets after ``as_of`` are absent.  Given ``dates`` (a column ``day``) exactly
+    these are shifted, however far they lie from the calendar; otherwise every civil day around it.
     """
-    every, idx = civil_days(days), indexed(days)
+    at, idx = days_up_to(civil_days(days) if dates is None else dates, days), indexed(days)
     if n == 0:
-        goal = F.col("idx")
-    elif n > 0:
-        goal = F.coalesce(F.col("idx") + n, F.col("next_idx") + (n - 1))
-    else:
-        goal = F.coalesce(F.col("idx") + n, F.col("prev_idx") + (n + 1))
+        at = at.filter(F.col("upto") > F.col("before"))
+    goal = F.col("upto") + (n - 1) if n > 0 else F.col("before") + n
     to = idx.select(F.col("idx").alias("_goal"), F.col("trade_date").alias("target"))
-    out = every.withColumn("_goal", goal).join(to, "_goal").select("day", "target")
+    out = at.withColumn("_goal", goal).join(to, "_goal").select("day", "target")
     return out if as_of is None or n <= 0 else out.filter(F.col("target") <= as_of)
 
 
@@ -52,13 +44,15 @@ def between(days: DataFrame, start: Column, end: Column, *, as_of: Column | None
     return days.select("trade_date").filter(F.col("trade_date").between(start, hi))
 
 
-def navigation(days: DataFrame) -> DataFrame:
-    """Per civil day: membership, next and previous trading day."""
-    every, idx = civil_days(days), indexed(days)
-    at = lambda c, n: idx.select(F.col("idx").alias(c), F.col("trade_date").alias(n))
-    return (every.join(at("next_idx", "next_day"), "next_idx", "left")
-            .join(at("prev_idx", "prev_day"), "prev_idx", "left")
-            .select("day", F.col("idx").isNotNull().alias("is_trading"), "next_day", "prev_day"))
+def navigation(days: DataFrame, *, dates: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """Per civil day (or per day of ``dates``): membership, next and previous trading day, none of them after ``as_of``."""
+    known = days if as_of is None else days.filter(F.col("trade_date") <= as_of)
+    idx = indexed(known)
+    at = days_up_to(civil_days(days) if dates is None else dates, known)
+    to = lambda c, n: idx.select(F.col("idx").alias(c), F.col("trade_date").alias(n))
+    return (at.withColumns({"_next": F.col("upto"), "_prev": F.col("before") - 1})
+            .join(to("_next", "next_day"), "_next", "left").join(to("_prev", "prev_day"), "_prev", "left")
+            .select("day", (F.col("upto") > F.col("before")).alias("is_trading"), "next_day", "prev_day"))
 
 
 def days_up_to(dates: DataFrame, days: DataFrame) -> DataFrame:
@@ -66,9 +60,9 @@ def days_up_to(dates: DataFrame, days: DataFrame) -> DataFrame:
     date's distance from the calendar.  The window runs over distinct dates, which civil days bound."""
     marks = dates.select("day", F.lit(0).alias("_t")).unionByName(
         days.select(F.col("trade_date").alias("day"), F.lit(1).alias("_t"))).filter(F.col("day").isNotNull())
-    per = marks.groupBy("day").agg(F.max("_t").alias("_t"))
+    per = marks.groupBy("day").agg(F.max("_t").alias("_t"), (F.min("_t") == 0).alias("_asked"))
     upto = F.sum("_t").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return per.select("day", upto.alias("upto"), (upto - F.col("_t")).alias("before"))
+    return per.select("day", upto.alias("upto"), (upto - F.col("_t")).alias("before"), "_asked").filter("_asked").drop("_asked")
 
 
 def count_between(pairs: DataFrame, days: DataFrame, start: str, end: str, name: str, *, as_of: Column | None = None) -> DataFrame:
@@ -131,12 +125,28 @@ def walk_forward(days: DataFrame, *, first_test_end: Column, last_test_end: Colu
                       F.lit(embargo).alias("embargo_days"))
 
 
-def assign_folds(rows: DataFrame, folds: DataFrame, date_col: str) -> DataFrame:
-    """Rows with the part (train/val/test) they play in every fold that uses them.
+def by_interval(rows: DataFrame, intervals: DataFrame, date_col: str) -> DataFrame:
+    """Rows with every interval (columns ``lo``, ``hi``, both inside it, and others) that holds their date.
 
-    Fold tables hold a handful of rows; the join is a range join against them.
+    Overlapping intervals are cut into disjoint segments; a civil day has one segment, a segment the intervals that cover
+    it. Both tables are as small as the calendar, and rows meet them by two equi-joins.
     """
+    others = [c for c in intervals.columns if c not in ("lo", "hi")]
+    whole = intervals.filter(F.col("lo") <= F.col("hi")).withColumn("_past", F.date_add("hi", 1))
+    edges = (whole.select(F.col("lo").alias("_start")).unionByName(whole.select(F.col("_past").alias("_start"))).distinct()
+             .select("_start", F.row_number().over(Window.orderBy("_start")).alias("_seg"),
+                     F.lead("_start").over(Window.orderBy("_start")).alias("_next")))
+    day = edges.filter(F.col("_next").isNotNull()).select(
+        "_seg", F.explode(F.sequence("_start", F.date_sub("_next", 1))).alias("_day"))
+    number = lambda of, name: edges.select(F.col("_start").alias(of), F.col("_seg").alias(name))
+    cover = (whole.join(number("lo", "_a"), "lo").join(number("_past", "_b"), "_past")
+             .select(*others, F.explode(F.sequence("_a", F.col("_b") - 1)).alias("_seg")))
+    return rows.join(day, F.col(date_col) == F.col("_day")).join(cover, "_seg").drop("_seg", "_day")
+
+
+def assign_folds(rows: DataFrame, folds: DataFrame, date_col: str) -> DataFrame:
+    """Rows with the part (train/val/test) they play in every fold that uses them."""
     parts = folds.select("name", F.explode(F.array(*[
         F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("lo"), F.col(f"{p}_end").alias("hi"))
         for p in ("train", "val", "test")])).alias("p")).select("name", "p.part", "p.lo", "p.hi")
-    return rows.join(parts, F.col(date_col).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return by_interval(rows, parts, date_col)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import clock, shapes
 from tickloom.operators import tradingdays
-from tickloom.plans.crosssection import attach_windows, draw
+from tickloom.plans.crosssection import draw, fetch_windows, numbered_stores, with_history
 
 # The ten horizons in head order (name, kind, minutes, trading days ahead).
 HORIZONS = (
@@ -34,8 +34,9 @@ def endpoints(anchors: DataFrame, trading: DataFrame, *, overnight_first_bar: bo
     first bar of the next session unless ``overnight_first_bar`` is off.
     """
     days = anchors.select("t").distinct().withColumn("_d", clock.exchange_date(F.col("t")))
+    civil = days.select(F.col("_d").alias("day")).distinct()
     for n in sorted({h[3] for h in HORIZONS if h[3]}):
-        moves = tradingdays.shift_table(trading, n).select(F.col("day").alias("_d"), F.col("target").alias(f"_d{n}"))
+        moves = tradingdays.shift_table(trading, n, dates=civil).select(F.col("day").alias("_d"), F.col("target").alias(f"_d{n}"))
         days = days.join(moves, "_d", "left")
     ends = []
     for i, ((name, kind, minutes, ahead), ok) in enumerate(zip(HORIZONS, head_mask(F.col("t")))):
@@ -56,12 +57,19 @@ def closes(bars: DataFrame) -> DataFrame:
         "symbol", clock.effective_close_of("5m", "ts").alias("at"), "close")
 
 
-def alive(anchors: DataFrame, bars: DataFrame, stores: dict[str, DataFrame], *, window_bars: dict[str, int], channels: Sequence[str] = ("close",),
-          min_alive: int = MIN_ALIVE) -> DataFrame:
-    """``t, symbol, c0`` and windows of the symbols with full histories and a close at the anchor."""
+def alive(anchors: DataFrame, bars: DataFrame, stores: dict[str, DataFrame], *, window_bars: dict[str, int],
+          channels: Sequence[str] | None = ("close",), min_alive: int = MIN_ALIVE) -> DataFrame:
+    """``t, symbol, c0`` of the symbols with full histories and a close at the anchor, and their windows.
+
+    Cohorts are counted on bar numbers; windows are fetched for the rows that stay, or not at all without ``channels``.
+    """
     here = closes(bars).withColumnsRenamed({"at": "t", "close": "c0"}).join(anchors.select("t").distinct(), "t", "left_semi")
-    rows = attach_windows(here, stores, strict=False, window_bars=window_bars, channels=channels)
-    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter(F.col("_n") >= min_alive).drop("_n")
+    numbered = numbered_stores(stores, channels or ())
+    hits = with_history(here, numbered, strict=False, window_bars=window_bars)
+    rows = hits.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter(F.col("_n") >= min_alive).drop("_n")
+    if channels is None:
+        return rows.select("t", "symbol", "c0")
+    return fetch_windows(rows, numbered, window_bars=window_bars, channels=channels)
 
 
 def label_arrays(rows: DataFrame, bars: DataFrame, ends: DataFrame) -> DataFrame:
@@ -80,8 +88,9 @@ def regime(rows: DataFrame, bars: DataFrame, trading: DataFrame, sectors: DataFr
     """Ten market-state numbers per anchor from the alive symbols' closes at earlier moments."""
     t = F.col("t")
     days = rows.select("t").distinct().withColumn("_d", clock.exchange_date(t))
+    civil = days.select(F.col("_d").alias("day")).distinct()
     for n in (1, 5):
-        days = days.join(tradingdays.shift_table(trading, -n).select(F.col("day").alias("_d"), F.col("target").alias(f"_p{n}")), "_d", "left")
+        days = days.join(tradingdays.shift_table(trading, -n, dates=civil).select(F.col("day").alias("_d"), F.col("target").alias(f"_p{n}")), "_d", "left")
     first_close = clock.OPEN_MINUTE + FIRST_BAR_MINUTES
     moments = {"r5": clock.exchange_instant(F.col("_p5"), clock.CLOSE_MINUTE), "r1": clock.exchange_instant(F.col("_p1"), clock.CLOSE_MINUTE),
                "r30": t - clock.minutes(30), "r60": t - clock.minutes(60),
@@ -106,7 +115,8 @@ def regime(rows: DataFrame, bars: DataFrame, trading: DataFrame, sectors: DataFr
 
 
 def assemble(anchors: DataFrame, bars: DataFrame, stores: dict[str, DataFrame], trading: DataFrame, *, window_bars: dict[str, int],
-             channels: Sequence[str] = ("close",), min_alive: int = MIN_ALIVE) -> DataFrame:
+             channels: Sequence[str] | None = ("close",), min_alive: int = MIN_ALIVE) -> DataFrame:
+    """Alive rows with their labels, and their windows unless ``channels`` is None."""
     rows = alive(anchors, bars, stores, window_bars=window_bars, channels=channels, min_alive=min_alive)
     return label_arrays(rows, bars, endpoints(anchors, trading))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions import clock
 from tickloom.operators import ranking
 from tickloom.operators.asof import asof_many
+from tickloom.operators.numbered import number_rows, windows_at
 from tickloom.operators.series import CHUNK_ROWS, over_series
-from tickloom.plans.features import WINDOW_BARS, last_windows
+from tickloom.plans.features import WINDOW_BARS
 
 # Returns in the volatility estimate and the scale it uses.
 VOL_LOOKBACK = {"30m": ("5m", 78), "120m": ("5m", 156), "1d": ("day", 20), "2d": ("day", 20)}
@@ -29,59 +31,101 @@ def trailing_vol(features: DataFrame, *, scale: str, returns: int, chunk_rows: i
     return out.filter(F.col("vol").isNotNull()).select("symbol", clock.effective_close_of(scale, "ts").alias("eff_close"), "vol")
 
 
-def attach_windows(anchors: DataFrame, stores: dict[str, DataFrame], *, time: str = "t", strict: bool = True,
-                   window_bars: dict[str, int] | None = None, channels: Sequence[str] = ("close",),
-                   vol: DataFrame | None = None, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """Anchors with one array column ``w_<scale>`` per scale; short histories drop the row."""
+def numbered_stores(stores: dict[str, DataFrame], columns: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """``symbol, n, eff_close`` and the columns of every store, numbered per symbol."""
+    return {scale: number_rows(store.select("symbol", "ts", *columns)).select(
+        "symbol", "n", clock.effective_close_of(scale, "ts").alias("eff_close"), *columns) for scale, store in stores.items()}
+
+
+def with_history(anchors: DataFrame, numbered: dict[str, DataFrame], *, time: str = "t", strict: bool = True,
+                 window_bars: dict[str, int] | None = None, vol: DataFrame | None = None) -> DataFrame:
+    """Anchors that have a full window at every scale, with ``k_<scale>``, the number of its last bar (and ``vol``).
+
+    Bars are matched by number alone, so no window passes through the match.
+    """
     window_bars = window_bars or WINDOW_BARS
-    sources = {}
-    for scale, store in stores.items():
-        win = last_windows(store, scale=scale, n=window_bars[scale], channels=channels, chunk_rows=chunk_rows)
-        sources[f"w_{scale}"] = (win, "eff_close", {f"w_{scale}": F.col("window")})
+    sources = {s: (rows.select("symbol", "eff_close", "n"), "eff_close", {f"k_{s}": F.col("n")}) for s, rows in numbered.items()}
     if vol is not None:
         sources["vol"] = (vol, "eff_close", {"vol": F.col("vol")})
-    return asof_many(anchors, sources, left_time=time, strict=strict).dropna(subset=list(sources))
+    hits = asof_many(anchors, sources, left_time=time, strict=strict, bucket="month")
+    for s in numbered:
+        hits = hits.filter(F.col(f"k_{s}") >= window_bars[s] - 1)
+    return hits if vol is None else hits.filter(F.col("vol").isNotNull())
+
+
+def fetch_windows(hits: DataFrame, numbered: dict[str, DataFrame], *, time: str = "t", window_bars: dict[str, int] | None = None,
+                  channels: Sequence[str] = ("close",)) -> DataFrame:
+    """Rows of :func:`with_history` with one array column ``w_<scale>`` per scale instead of the numbers.
+
+    Every scale's windows are cut from blocks of bars by one join, then each row's windows are put side by side.
+    Rows are unique by (symbol, time).
+    """
+    window_bars = window_bars or WINDOW_BARS
+    own = [c for c in hits.columns if c not in {f"k_{s}" for s in numbered}]
+    pick = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(window_bars[s]).alias("size"), F.col(f"k_{s}").alias("k")) for s in numbered]))
+    long = hits.select("*", pick.alias("_m")).select("symbol", time, F.struct(*own).alias("_own"), "_m.*")
+    bars = reduce(DataFrame.unionByName, [rows.select("symbol", F.lit(s).alias("scale"), F.lit(window_bars[s]).alias("size"), "n", *channels)
+                                          for s, rows in numbered.items()])
+    cut = windows_at(long, bars, [F.col(c).cast("float").alias(c) for c in channels], size="size", at="k", name="w", keys=("symbol", "scale"))
+    windows = [F.first(F.when(F.col("scale") == s, F.col("w")), ignorenulls=True).alias(f"w_{s}") for s in numbered]
+    return cut.groupBy("symbol", time).agg(F.first("_own").alias("_own"), *windows).select("_own.*", *[f"w_{s}" for s in numbered])
+
+
+def attach_windows(anchors: DataFrame, stores: dict[str, DataFrame], *, time: str = "t", strict: bool = True,
+                   window_bars: dict[str, int] | None = None, channels: Sequence[str] = ("close",),
+                   vol: DataFrame | None = None) -> DataFrame:
+    """Anchors with one array column ``w_<scale>`` per scale; short histories drop the row."""
+    numbered = numbered_stores(stores, channels)
+    hits = with_history(anchors, numbered, time=time, strict=strict, window_bars=window_bars, vol=vol)
+    return fetch_windows(hits, numbered, time=time, window_bars=window_bars, channels=channels)
 
 
 def snapshot_windows(anchors: DataFrame, features: DataFrame, *, k: int = 64, max_stale_minutes: int = 5, time: str = "t",
-                     channels: Sequence[str] = tuple(f"f_{i}" for i in range(8)), chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+                     channels: Sequence[str] = tuple(f"f_{i}" for i in range(8))) -> DataFrame:
     """Anchors with the last ``k`` snapshots strictly before them, or a false ``book_mask``.
 
-    The mask is false when fewer than ``k`` exist or the newest is too old.
+    The mask is false when fewer than ``k`` exist or the newest is too old; windows are fetched where it is true.
     """
-    item = F.struct(*[F.col(c).cast("float").alias(c) for c in channels])
-    win = over_series(features, lambda w: {"book_window": F.collect_list(item).over(w.rowsBetween(-(k - 1), 0))}, lookback=k, chunk_rows=chunk_rows)
-    out = asof_many(anchors, {"b": (win, "ts", {"book_window": F.col("book_window"), "_bts": F.col("ts")})}, left_time=time, strict=True)
-    ok = F.coalesce((F.size("book_window") == k) & (F.col(time) - F.expr(f"INTERVAL {int(max_stale_minutes)} MINUTES") <= F.col("_bts")), F.lit(False))
-    return out.withColumn("book_mask", ok).withColumn("book_window", F.when(ok, F.col("book_window"))).drop("_bts")
+    rows = number_rows(features.select("symbol", "ts", *channels), bucket="day")
+    out = asof_many(anchors, {"b": (rows.select("symbol", "ts", "n"), "ts", {"_k": F.col("n"), "_bts": F.col("ts")})},
+                    left_time=time, strict=True, bucket="day")
+    ok = F.coalesce((F.col("_k") >= k - 1) & (F.col(time) - F.expr(f"INTERVAL {int(max_stale_minutes)} MINUTES") <= F.col("_bts")), F.lit(False))
+    out = out.withColumn("book_mask", ok).withColumn("_k", F.when(ok, F.col("_k"))).drop("_bts")
+    items = [F.col(c).cast("float").alias(c) for c in channels]
+    return windows_at(out, rows, items, size=k, at="_k", name="book_window", partial=True).drop("_k")
 
 
 def cross_sections(labels: DataFrame, stores: dict[str, DataFrame], *, horizon: str, n_universe: int = 0, keep_share: float = 0.5,
                    window_bars: dict[str, int] | None = None, channels: Sequence[str] = ("close",), vol_returns: int | None = None,
                    buckets: int = 5, min_symbols: int = MIN_SYMBOLS, aux: DataFrame | None = None, book: DataFrame | None = None,
-                   book_k: int = 64, tradeable: DataFrame | None = None, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+                   book_k: int = 64, book_stale_minutes: int = 5, book_channels: Sequence[str] = tuple(f"f_{i}" for i in range(8)),
+                   tradeable: DataFrame | None = None, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Rows of every cross-section wide enough: ``t, symbol, y, rank, vol_bucket`` and windows.
 
     A row needs a valid label, full windows at every scale strictly before ``t``, a
     volatility and (if given) auxiliary features at exactly ``t``.  Book windows and
-    tradeable labels are optional per row.
+    tradeable labels are optional per row.  Rows are chosen and ranked on bar numbers;
+    windows are fetched for those that stay.
     """
     scale, n = VOL_LOOKBACK[horizon]
     vol = trailing_vol(stores[scale], scale=scale, returns=vol_returns or n, chunk_rows=chunk_rows)
     rows = labels.filter("valid_label").select("symbol", "t", F.col("y_log_return").alias("y"))
-    rows = attach_windows(rows, stores, window_bars=window_bars, channels=channels, vol=vol, chunk_rows=chunk_rows)
+    numbered = numbered_stores(stores, channels)
+    rows = with_history(rows, numbered, window_bars=window_bars, vol=vol)
     if aux is not None:
         rows = rows.join(aux.withColumnRenamed("anchor_ts", "t"), ["symbol", "t"])
-    if book is not None:
-        rows = snapshot_windows(rows, book, k=book_k, chunk_rows=chunk_rows)
     if tradeable is not None:
         tl = tradeable.select("symbol", "t", "tradeable_label", F.col("valid_label").alias("tradeable_valid"),
                               *[c for c in ("realized_pnl_long", "realized_pnl_short") if c in tradeable.columns])
         rows = rows.join(tl, ["symbol", "t"], "left").fillna({"tradeable_label": 0, "tradeable_valid": False})
     need = max(min_symbols, int(keep_share * n_universe))
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter(F.col("_n") >= need).drop("_n")
-    return rows.withColumns({"rank": ranking.unit_rank("y", ["t"]), "vol_bucket": ranking.quantile_bucket("vol", ["t"], buckets),
+    rows = rows.withColumns({"rank": ranking.unit_rank("y", ["t"]), "vol_bucket": ranking.quantile_bucket("vol", ["t"], buckets),
                              "horizon": F.lit(horizon)})
+    rows = fetch_windows(rows, numbered, window_bars=window_bars, channels=channels)
+    if book is not None:
+        rows = snapshot_windows(rows, book, k=book_k, max_stale_minutes=book_stale_minutes, channels=book_channels)
+    return rows
 
 
 # ------------------------------------------------------------------------ sampling

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions import clock, shapes
 from tickloom.operators.asof import asof_many
+from tickloom.operators.numbered import matched_numbers, number_rows, stats_at
 from tickloom.operators.series import CHUNK_ROWS, carry_forward, over_series, running_total
 
 # Lags, z-score window, warm-up days per scale, locked channel order.
@@ -164,6 +165,63 @@ def anchor_matrix(stores: dict[str, DataFrame], anchors: DataFrame, *, as_of,
     return wide.dropna(subset=order).select(*anchors.columns, *order)
 
 
+SUMMARY = ("last", "mean", "std", "min", "max", "trend")
+LAST_BARS = 5
+
+
+def matrix_columns(scales: Sequence[str] = clock.SCALES, channels: Sequence[str] = CHANNELS) -> list[str]:
+    """Names of the full matrix in stored order: 6 summaries of every channel at every scale, and the last raw bars at 5m."""
+    out = []
+    for scale in scales:
+        out += [f"{scale}__{ch}__{stat}" for ch in channels for stat in SUMMARY]
+        if scale == "5m":
+            out += [f"5m__{ch}__last5_b{k}" for ch in channels[:5] for k in range(LAST_BARS)]
+    return out
+
+
+def full_anchor_matrix(stores: dict[str, DataFrame], anchors: DataFrame, *, as_of, window_bars: dict[str, int] | None = None,
+                       channels: Sequence[str] = CHANNELS, keep: Sequence[str] | None = None) -> DataFrame:
+    """The flat feature row of every anchor at full window lengths: all of :func:`matrix_columns`, or ``keep``.
+
+    Equal to :func:`anchor_matrix`, with the work turned round: anchors are matched to bar numbers first, then
+    each distinct (symbol, scale, number) gets its summaries from running aggregates of blocks, linear in the bars
+    whatever the window length. All scales go through the same exchanges. Anchors are distinct rows.
+    """
+    window_bars = window_bars or WINDOW_BARS
+    cap = clock.as_instant(as_of)
+    numbered = {}
+    for scale, store in stores.items():
+        known = store.filter(clock.effective_close_of(scale, "ts") <= cap).select("symbol", "ts", *channels)
+        numbered[scale] = number_rows(known).withColumn("eff_close", clock.effective_close_of(scale, "ts"))
+    hits = matched_numbers(anchors, {s: (n, "eff_close") for s, n in numbered.items()})
+    pick = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(window_bars[s]).cast("long").alias("size"),
+                                        F.col(f"k_{s}").alias("k")) for s in stores])).alias("m")
+    for s in stores:  # rows short of history at any scale are dropped, null numbers with them
+        hits = hits.filter(F.col(f"k_{s}") >= window_bars[s] - 1)
+    long = hits.select(*anchors.columns, pick).select(*anchors.columns, "m.*")
+    bars = None
+    for scale, n in numbered.items():
+        part = n.select("symbol", F.lit(scale).alias("scale"), F.lit(window_bars[scale]).cast("long").alias("size"), "n", *channels)
+        bars = part if bars is None else bars.unionByName(part)
+    summary = stats_at(bars, long, channels, keys=("symbol", "scale"), lags=range(1, LAST_BARS))
+    found = F.struct(*[c for c in summary.columns if c not in ("symbol", "scale", "k")])
+    rows = long.join(summary, ["symbol", "scale", "k"])
+    wide = rows.groupBy(*anchors.columns).agg(*[
+        F.first(F.when(F.col("scale") == s, found), ignorenulls=True).alias(f"_{s}") for s in stores])
+    place = {ch: i for i, ch in enumerate(channels)}
+
+    def value(name: str) -> Column:
+        scale, ch, stat = name.split("__")
+        of = lambda k: F.col(f"_{scale}.{k}")[place[ch]]
+        if stat == "trend":
+            return ((of("last") - of("first")) / (F.abs(of("first")) + 1e-12)).alias(name)
+        back = stat.removeprefix("last5_b")
+        return of(stat if back == stat else "last" if back == "0" else f"lag{back}").alias(name)
+
+    names = list(keep) if keep is not None else matrix_columns(list(stores), channels)
+    return wide.select(*anchors.columns, *[value(n) for n in names]).dropna(subset=names)
+
+
 # The fifty auxiliary features, in stored order f_0..f_49.
 AUX_FEATURES = (
     "15m__min_of_day_sin__std", "15m__bar_range__std", "5m__low__last5_b0", "5m__low__last",
@@ -184,12 +242,17 @@ AUX_FEATURES = (
 
 
 def aux_features(stores: dict[str, DataFrame], *, as_of, window_bars: dict[str, int] | None = None,
-                 precise: bool = False, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """``symbol, anchor_ts, f_0..f_49`` at the close of every 5m bar (float unless ``precise``)."""
+                 precise: bool = False, chunk_rows: int | None = CHUNK_ROWS, by_number: bool = False) -> DataFrame:
+    """``symbol, anchor_ts, f_0..f_49`` at the close of every 5m bar (float unless ``precise``).
+
+    ``by_number`` takes the plan of :func:`full_anchor_matrix`, for windows of full length.
+    """
     cap = clock.as_instant(as_of)
-    anchors = stores["5m"].select("symbol", clock.effective_close_of("5m", "ts").alias("anchor_ts"))
-    wide = anchor_matrix(stores, anchors.filter(F.col("anchor_ts") <= cap), as_of=as_of,
-                         window_bars=window_bars, keep=AUX_FEATURES, chunk_rows=chunk_rows)
+    anchors = stores["5m"].select("symbol", clock.effective_close_of("5m", "ts").alias("anchor_ts")).filter(F.col("anchor_ts") <= cap)
+    if by_number:
+        wide = full_anchor_matrix(stores, anchors, as_of=as_of, window_bars=window_bars, keep=AUX_FEATURES)
+    else:
+        wide = anchor_matrix(stores, anchors, as_of=as_of, window_bars=window_bars, keep=AUX_FEATURES, chunk_rows=chunk_rows)
     return wide.select("symbol", "anchor_ts", *[
         F.col(c).cast("double" if precise else "float").alias(f"f_{i}") for i, c in enumerate(AUX_FEATURES)])
 
