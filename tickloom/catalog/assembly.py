@@ -9,6 +9,7 @@ from tickloom.catalog.tables import rounded
 from tickloom.functions import clock, shapes
 from tickloom.operators.asof import asof
 from tickloom.plans import cohort as co, crosssection as cs, features as ft, labels as lb, metrics as mt, models as md, strategy as st
+from tickloom.session import stored
 from tickloom.sources import dimensions as dm, marketviews as mv
 
 WIN = {"5m": 8, "15m": 6, "60m": 4, "day": 5}
@@ -58,6 +59,8 @@ CROSS_SQL = oracle(f"""SELECT t, symbol, y, {r('(row_number() OVER (PARTITION BY
 
 # ---- the other horizons, with auxiliary features, book windows and tradeable labels
 AUX_SHOWN = (0, 9)
+#: flat bars void most intraday labels of the test tables, so their cross-sections are narrow
+NARROW = 2
 
 
 def digest(rows):
@@ -70,9 +73,9 @@ def digest(rows):
 def q_cross_intraday(h, returns):
     def run(s, d):
         st_ = stored_stores(s, d)
-        aux = ft.aux_features(st_, as_of=FAR, window_bars=CHAN_SMALL, precise=True, by_number=True)
+        aux = stored(ft.aux_features(st_, as_of=FAR, window_bars=CHAN_SMALL, precise=True), "aux")  # a table of its own, as in a pipeline
         rows = cs.cross_sections(lb.intraday_labels(mv.bars_5m(s, d), h, as_of=CAP_INTRA), st_, horizon=h, window_bars=WIN,
-                                 channels=("close", "volume"), vol_returns=returns, aux=aux, tradeable=q_tradeable(s, d))
+                                 channels=("close", "volume"), vol_returns=returns, aux=aux, tradeable=q_tradeable(s, d), min_symbols=NARROW)
         out = rows.select("t", "symbol", "y", "rank", F.col("vol_bucket").cast("int").alias("vol_bucket"), "vol", *digest(rows),
                           *[f"f_{i}" for i in AUX_SHOWN], "tradeable_label", "tradeable_valid")
         return rounded(out, 5)
@@ -88,7 +91,7 @@ def q_cross_book(s, d):
     return rounded(out, 5, oldest=3, newest=3)
 
 
-def cross_sql(labels: str, vol_scale: str, returns: int, columns: str = "", joins: str = "", kept: str = "") -> str:
+def cross_sql(labels: str, vol_scale: str, returns: int, columns: str = "", joins: str = "", kept: str = "", width: int = 10) -> str:
     """Cross-sections in SQL: ``columns`` and ``joins`` add to the matched rows, ``kept`` to the result."""
     ctes = {k: v for k, v in windows_ctes().items() if k != "vv"}
     minutes = clock.SCALE_MINUTES.get(vol_scale, 0)
@@ -97,7 +100,7 @@ def cross_sql(labels: str, vol_scale: str, returns: int, columns: str = "", join
     shown = ", ".join(f"{r(f'first_{k}', 5)} AS first_{k}, {r(f'last_{k}', 5)} AS last_{k}, {r(f'volume_{k}', 5)} AS volume_{k}" for k in WIN)
     return oracle(f"""SELECT t, symbol, y, {r('(row_number() OVER (PARTITION BY t ORDER BY y, symbol) - 1) / greatest(n - 1, 1)::DOUBLE', 5)} AS rank,
   CAST(CASE WHEN mn = mx THEN 2 ELSE len(list_filter(e, lambda x: x <= vol)) END AS INTEGER) AS vol_bucket, {r('vol', 5)} AS vol, {shown}{kept}
-  FROM cr JOIN (SELECT t, count(*) AS n, min(vol) AS mn, max(vol) AS mx, quantile_cont(vol, [0.2, 0.4, 0.6, 0.8]) AS e FROM cr GROUP BY t) USING (t) WHERE n >= 10""",
+  FROM cr JOIN (SELECT t, count(*) AS n, min(vol) AS mn, max(vol) AS mx, quantile_cont(vol, [0.2, 0.4, 0.6, 0.8]) AS e FROM cr GROUP BY t) USING (t) WHERE n >= {width}""",
                   **ctes, lab=labels, cr="SELECT a.symbol, a.t, a.y_log_return AS y, vv.vol, "
                   + ", ".join(f"x{k}.first_c AS first_{k}, x{k}.last_c AS last_{k}, x{k}.vol_c AS volume_{k}" for k in WIN) + columns
                   + " FROM (SELECT * FROM lab WHERE valid_label) a "
@@ -109,7 +112,7 @@ def cross_intraday_sql(h, returns):
     aux = matrix_sql(ft.AUX_FEATURES, "SELECT symbol, ts + INTERVAL 5 MINUTE AS anchor_ts FROM st_5m", {k: f"f_{i}" for i, k in enumerate(ft.AUX_FEATURES)})
     return cross_sql(intraday_sql(h), "5m", returns, "".join(f", ax.f_{i}" for i in AUX_SHOWN) + ", coalesce(tl.tradeable_label, 0)::TINYINT AS tradeable_label, coalesce(tl.valid_label, false) AS tradeable_valid",
                      f" JOIN ({aux}) ax ON ax.symbol = a.symbol AND ax.anchor_ts = a.t LEFT JOIN ({tradeable_sql()}) tl ON tl.symbol = a.symbol AND tl.t = a.t",
-                     "".join(f", {r(f'f_{i}', 5)} AS f_{i}" for i in AUX_SHOWN) + ", tradeable_label, tradeable_valid")
+                     "".join(f", {r(f'f_{i}', 5)} AS f_{i}" for i in AUX_SHOWN) + ", tradeable_label, tradeable_valid", NARROW)
 
 
 CROSS_BOOK_SQL = cross_sql(daily_sql(2), "day", 12, ", bk.ok AS book_mask, bk.o AS oldest, bk.f AS newest",
@@ -325,7 +328,6 @@ QUERIES = {
     "asof_inclusive": (q_asof(False), asof_sql(">=")),
     "cross_sections_1d": (q_cross, CROSS_SQL),
     "cross_sections_30m": (q_cross_intraday("30m", 78), cross_intraday_sql("30m", 78)),
-    "cross_sections_120m": (q_cross_intraday("120m", 156), cross_intraday_sql("120m", 156)),
     "cross_sections_2d_book": (q_cross_book, CROSS_BOOK_SQL),
     "snapshot_windows": (q_snapshots, snapshots_sql()),
     "horizon_endpoints": (q_endpoints, oracle("SELECT t, head, ep AS endpoint FROM ends WHERE ep IS NOT NULL", gr=GRID, ends=ENDS)),

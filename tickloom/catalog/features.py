@@ -192,6 +192,37 @@ def full_matrix_sql():
     return oracle(f"SELECT a.symbol, a.anchor_ts, {', '.join(cols)} FROM (SELECT symbol, ts AS anchor_ts FROM bars_day) a {joins} WHERE {ok}", **ctes)
 
 
+def q_aux_full(s, d):
+    """All fifty auxiliary features at full window lengths, as one weighted whole number per anchor and group of ten."""
+    out = ft.aux_features(stored_stores(s, d), as_of=FAR, precise=True, by_number=True)
+    total = lambda i: sum((aux_whole(j) * (2 * j + 1) for j in range(i + 1, i + 10)), aux_whole(i) * (2 * i + 1))
+    return out.select("symbol", "anchor_ts", *[total(i).alias(f"g_{i // 10}") for i in range(0, 50, 10)])
+
+
+def aux_factor(name: str) -> float:
+    ch, stat = name.split("__")[1:]
+    return 1e3 if stat == "trend" else COARSE if ch in ft.CHANNELS[:5] else FINE
+
+
+def aux_whole(i: int):
+    name, c = ft.AUX_FEATURES[i], F.col(f"f_{i}")
+    return whole_number(F.signum(c) * F.log1p(F.abs(c)) if name.endswith("__trend") else c, aux_factor(name))
+
+
+def aux_full_sql():
+    src = lambda k: f's_{k.split("__", 1)[0]}.{k.split("__", 1)[1]}'
+    val = lambda k: f"sign({src(k)}) * ln(1 + abs({src(k)}))" if k.endswith("__trend") else src(k)
+    whole = lambda k: f"CAST(round({val(k)} * {aux_factor(k):.0f}.0::DOUBLE + {OFFSET}::DOUBLE) AS BIGINT)"
+    cols = [" + ".join(f"{whole(ft.AUX_FEATURES[j])} * {2 * j + 1}" for j in range(i, i + 10)) + f" AS g_{i // 10}" for i in range(0, 50, 10)]
+    joins = " ".join(f"ASOF JOIN su_{sc} AS s_{sc} ON a.symbol = s_{sc}.symbol AND a.anchor_ts > s_{sc}.eff_close" for sc in clock.SCALES)
+    ctes = {}
+    for sc in clock.SCALES:
+        ctes[f"st_{sc}"] = store_sql(sc, FAR)
+        ctes[f"su_{sc}"] = summary_sql(sc, ft.WINDOW_BARS[sc], f"st_{sc}")
+    ok = " AND ".join(f"{src(k)} IS NOT NULL" for k in ft.AUX_FEATURES)
+    return oracle(f"SELECT a.symbol, a.anchor_ts, {', '.join(cols)} FROM (SELECT symbol, ts + INTERVAL 5 MINUTE AS anchor_ts FROM st_5m) a {joins} WHERE {ok}", **ctes)
+
+
 def q_rolling(s, d):
     st = ft.feature_store(mv.bars(s, d, "15m"), scale="15m", as_of=FAR)
     out = ft.rolling_summary(st, scale="15m", window_bars=12, channels=("close", "volume", "ret_1"))
@@ -318,6 +349,7 @@ QUERIES = {
     "rolling_summary_15m": (q_rolling, rolling_sql()),
     "anchor_matrix": (q_matrix, matrix_sql(MATRIX_KEEP)),
     "anchor_matrix_full": (q_full_matrix, full_matrix_sql()),
+    "aux_features_full": (q_aux_full, aux_full_sql()),
     "aux_features": (q_aux, matrix_sql(
         ft.AUX_FEATURES, "SELECT symbol, ts + INTERVAL 5 MINUTE AS anchor_ts FROM st_5m",
         {k: f"f_{i}" for i, k in enumerate(ft.AUX_FEATURES)})),

@@ -121,8 +121,10 @@ def stats_at(rows: DataFrame, wanted: DataFrame, columns: Sequence[str], *, size
     newest, inside the window). Numbers with a shorter history give no row.
     """
     names = ["last", "first", "mean", "std", "min", "max", *[f"lag{k}" for k in lags]]
-    asked = (wanted.select(*keys, size, at).filter(F.col(at) >= F.col(size) - 1).distinct()
-             .withColumn("_blk", F.floor(F.col(at) / F.col(size))))
+    # names of their own: both sides may stem from one table
+    own = [f"_q_{k}" for k in keys]
+    asked = (wanted.filter(F.col(at) >= F.col(size) - 1)
+             .select(*[F.col(k).alias(q) for k, q in zip(keys, own)], F.floor(F.col(at) / F.col(size)).alias("_qblk"), F.col(at).alias("_k")).distinct())
     block = F.floor(F.col(number) / F.col(size))
     values = F.array(*[F.col(c).cast("double") for c in columns]).alias("_v")
     sent = rows.select(*keys, F.explode(F.array(block, block + 1)).alias("_blk"), F.col(size).alias("_size"), F.col(number).alias("_n"), values)
@@ -130,13 +132,13 @@ def stats_at(rows: DataFrame, wanted: DataFrame, columns: Sequence[str], *, size
 
     def summaries(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in names}
-        ends = np.sort(right.column(at).to_numpy())
+        ends = np.sort(right.column("_k").to_numpy())
         if len(ends) and left.num_rows:
             numbers, n = left.column("_n").to_numpy(), int(left.column("_size")[0].as_py())
             order = np.argsort(numbers)
             flat = left.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             x = flat.reshape(-1, width)[order]
-            border = int(right.column("_blk")[0].as_py()) * n - int(numbers[order[0]])  # rows before the block
+            border = int(right.column("_qblk")[0].as_py()) * n - int(numbers[order[0]])  # rows before the block
             local = ends - int(numbers[order[0]])
             stats = two_blocks(x[:border], x[border:], local - border)
             out.update(stats, last=x[local], first=x[local - n + 1])
@@ -144,11 +146,11 @@ def stats_at(rows: DataFrame, wanted: DataFrame, columns: Sequence[str], *, size
                 out[f"lag{k}"] = x[local - k] if k < n else np.full((len(local), width), np.nan)
         else:
             ends = ends[:0]
-        heads = {k: pa.array([right.column(k)[0].as_py() for _ in ends], right.schema.field(k).type) for k in keys}
+        heads = {k: pa.array([right.column(q)[0].as_py() for _ in ends], right.schema.field(q).type) for k, q in zip(keys, own)}
         step = pa.array(np.arange(0, (len(ends) + 1) * width, width, dtype=np.int32)[:len(ends) + 1])
         lists = {k: pa.ListArray.from_arrays(step, pa.array(np.asarray(v, float).ravel(), from_pandas=True)) for k, v in out.items()}
         return pa.table({**heads, at: pa.array(ends, pa.int64()), **lists})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{at} long"] + [f"`{k}` array<double>" for k in names])
-    return sent.groupBy(*keys, "_blk").cogroup(asked.groupBy(*keys, "_blk")).applyInArrow(summaries, schema)
+    return sent.groupBy(*keys, "_blk").cogroup(asked.groupBy(*own, "_qblk")).applyInArrow(summaries, schema)

@@ -245,7 +245,8 @@ def aux_features(stores: dict[str, DataFrame], *, as_of, window_bars: dict[str,
                  precise: bool = False, chunk_rows: int | None = CHUNK_ROWS, by_number: bool = False) -> DataFrame:
     """``symbol, anchor_ts, f_0..f_49`` at the close of every 5m bar (float unless ``precise``).
 
-    ``by_number`` takes the plan of :func:`full_anchor_matrix`, for windows of full length.
+    ``by_number`` takes the plan of :func:`full_anchor_matrix`, for windows of full length (dozens of bars or more:
+    with very short ones its groups are too many to pay).
     """
     cap = clock.as_instant(as_of)
     anchors = stores["5m"].select("symbol", clock.effective_close_of("5m", "ts").alias("anchor_ts")).filter(F.col("anchor_ts") <= cap)
