@@ -230,9 +230,12 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    e = packing.WordEncoder(packing.tokenizer_path())
-    odd = ["", " ", "  a", "a  b ", "a \n b", "\n\n x\t y  ", "it's  don't  1 2", "x\r\n  y", "<|endoftext|> q", "a\t b", "　 a  b", LONG]
+    e = packing.WordEncoder(packing.tokenizer_path(), packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    odd = ["<|endoftext|>", "a  <|endoftext|> <|endoftext|><|endoftext|>\n b ", "x<|endoftext|", " <|endoftext|>  y", "<<|endoftext|>>",
+           "", " ", "  a", "a  b ", "a \n b", "\n\n x\t y  ", "it's  don't  1 2", "x\r\n  y", "<|endoftext|> q", "a\t b", "　 a  b", LONG]
+    rng = np.random.default_rng(8)
+    bits = ["<|endoftext|>", "<|end", "|>", " ", "  ", "\n", "it's", "word", "é", "12", "\t", "\u3000"]
+    odd += ["".join(rng.choice(bits, int(rng.integers(1, 12)))) for _ in range(2000)]
     for x in odd + [x or "" for x in TEXTS.values()]:
         ids = t.encode(x, add_special_tokens=False).ids
         assert e.encode(x) == struct.pack(f"<{len(ids)}I", *ids)
@@ -240,7 +243,7 @@ def test_encoder_equals_tokenizer():
 
 def test_packing(docs, empty):
     got = packing.pack(docs).toPandas()
-    e = packing.WordEncoder(packing.tokenizer_path())
+    e = packing.WordEncoder(packing.tokenizer_path(), packing.added_tokens(packing.tokenizer_path("byte_bpe_50k.json")))
     want = Counter((i, e.encode(t) + bytes(4)) for _, i, t in plain(docs))
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")

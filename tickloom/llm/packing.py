@@ -15,6 +15,7 @@ once each; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import zlib
@@ -32,12 +33,22 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """The vocabulary as ranks; the ids equal those of its tokenizers file (tested)."""
+    """The vocabulary as ranks; with the added tokens of its tokenizers file the ids equal that file's (tested)."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens of a tokenizers file that are matched as whole strings before a text is cut into words."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    loose = [t["content"] for t in tokens if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if loose:
+        raise ValueError(f"{path}: added tokens {loose} take in blanks or need word borders")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 #: a space before a blank or at the end stays with what precedes it
 LOOSE = re.compile(r" (?=\s|\Z)")
 
@@ -46,10 +57,11 @@ class WordEncoder:
     """Ids of whole texts, word by word, with a cache of words.
 
     The tokenizer starts a new piece at every space that a non-blank follows, so a text may be cut
-    there and every word be encoded by itself. A full cache keeps what it has.
+    there and every word be encoded by itself. A full cache keeps what it has. ``added`` tokens are taken
+    as whole strings, leftmost and longest first; what lies between two of them is a text of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import base64
 
         import public_tokenizers
@@ -59,6 +71,8 @@ class WordEncoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spaced: dict[str, bytes] = {}
+        self.added = {t: struct.pack("<I", i) for t, i in (added or {}).items()}
+        self.borders = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
 
     def word(self, word: str) -> bytes:
         ids = self.encoding.encode_ordinary(word)
@@ -66,6 +80,12 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.added and self.borders.search(text):
+            return b"".join(self.added[p] if i % 2 else self.between(p) for i, p in enumerate(self.borders.split(text)))
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if LOOSE.search(text):
             parts = joined_loose(text)
         else:
@@ -132,15 +152,19 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, piece: int = PIECE,
-         group: int = GROUP) -> DataFrame:
-    """One row per piece with its ids; windows are numbered by (input partition, count)."""
-    path = path or tokenizer_path()
+         group: int = GROUP, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece with its ids; windows are numbered by (input partition, count).
+
+    ``path`` names ranks, ``added`` the tokens matched as whole strings (by default those of the default vocabulary).
+    """
+    if path is None:
+        path, added = tokenizer_path(), added_tokens(tokenizer_path("byte_bpe_50k.json")) if added is None else added
     piece = min(piece, capacity)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = WordEncoder(path, added)
         base, serial, pending = TaskContext.get().partitionId() << 32, 0, []
 
         def emit(rows, at):
