@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-MODULES = ("tables", "features", "labels", "calendars", "evaluation", "trading", "upkeep", "assembly", "storage")
+MODULES = ("tables", "features", "labels", "calendars", "evaluation", "trading", "upkeep", "assembly", "storage", "chains")
 
 
 def _entries() -> dict:

@@ -2,8 +2,8 @@
 
 Under the table's folder lie ``data/<id>`` (Parquet files, range-partitioned by scale, symbol and time),
 ``manifest/<id>`` (one row per file and series in it: rows and time range) and ``commit/<number>``, a small file that
-names a manifest. A version exists once its commit file does; it is created last and only where none of that number
-stands, so a writer that dies leaves the version before it untouched, and of two writers that started from the same
+names a manifest. A version exists once its commit file does; it is put there last, whole, and only where none of that
+number stands, so a writer that dies leaves the version before it untouched, and of two writers that started from the same
 version one fails with :class:`Conflict` instead of undoing the other. Old versions stay readable until ``vacuum``.
 
 A merge finds the files whose series and time range overlap the incoming rows by an equi-join on the series, merges those
@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.plans.maintenance import merge_update
+from tickloom.sources import ledger
 from tickloom.sources.store import BAR_COLUMNS, BAR_SCHEMA, absent, check_bars, remove
 
 MANIFEST = "path string, scale string, symbol string, n_rows long, first_ts timestamp, last_ts timestamp"
@@ -29,38 +30,26 @@ class Conflict(RuntimeError):
     """Another writer has committed the version that this one was about to create."""
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, at = _fs(spark, f"{root}/commit")
-    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+    return [int(n) for n in ledger.names(spark, f"{root}/commit")]
 
 
 def _manifest_path(spark: SparkSession, root: str, version: int) -> str:
-    fs, at = _fs(spark, f"{root}/commit/{version:012d}")
-    stream = fs.open(at)
-    try:
-        return stream.readUTF()
-    finally:
-        stream.close()
+    return ledger.get_text(spark, f"{root}/commit/{version:012d}")
 
 
 def _commit(spark: SparkSession, root: str, version: int, manifest: str) -> int:
-    fs, at = _fs(spark, f"{root}/commit/{version:012d}")
-    try:
-        stream = fs.create(at, False)
-    except Exception as e:
-        if fs.exists(at):
-            raise Conflict(f"version {version} of {root} exists") from e
-        raise
-    stream.writeUTF(manifest)
-    stream.close()
+    if not ledger.put_new(spark, f"{root}/commit/{version:012d}", manifest, f"{root}/scratch"):
+        raise Conflict(f"version {version} of {root} exists")
     return version
 
 
+def find(spark: SparkSession, root: str, key: str, after: int) -> int | None:
+    """The version after ``after`` that was committed under a key."""
+    own = (v for v in versions(spark, root) if v > after and _manifest_path(spark, root, v).rsplit("/", 1)[1].startswith(f"{key}."))
+    return next(own, None)
+
+
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """One row per file and series of a version (the newest by default); empty for an absent table."""
     known = versions(spark, root)
@@ -98,8 +87,8 @@ def touched(files: DataFrame, incoming: DataFrame, bucket: str = "month") -> Dat
     return hit.select("path").distinct()
 
 
-def _publish(spark: SparkSession, root: str, base: int, rows: DataFrame) -> int:
-    at = f"{root}/manifest/{uuid.uuid4().hex}"
+def _publish(spark: SparkSession, root: str, base: int, rows: DataFrame, key: str | None = None) -> int:
+    at = f"{root}/manifest/{key + '.' if key else ''}{uuid.uuid4().hex}"
     rows.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.parquet(at)
     return _commit(spark, root, base + 1, at)
 
@@ -121,19 +110,46 @@ def replaced_by(threshold: float) -> Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def merge(incoming: DataFrame, root: str, how: Callable[[DataFrame, DataFrame], DataFrame], *, files: int | None = None,
-          base: int | None = None) -> int:
+          base: int | None = None, key: str | None = None) -> int:
     """Merge rows into the newest version (or into ``base``, to be refused if it is no longer the newest).
 
-    ``how`` gets the rows of the touched files and the incoming rows. Returns the new version.
+    ``how`` gets the rows of the touched files and the incoming rows. Returns the new version. With a ``key`` and a
+    ``base`` the merge happens once: a version committed under that key since is returned as it stands.
     """
     spark = incoming.sparkSession
     known = versions(spark, root)
     start = (known[-1] if known else 0) if base is None else base
-    old = manifest(spark, root, start or None)
-    paths = [r.path for r in touched(old, incoming).collect()]  # names of files, bounded by the table's file count
-    new = _write_files(how(_read_files(spark, paths), incoming), root, files)
+    return rewrite(spark, root, touched(manifest(spark, root, start or None), incoming), lambda stored: how(stored, incoming),
+                   files=files, base=start, key=key)
+
+
+def rewrite(spark: SparkSession, root: str, hit: DataFrame, change: Callable[[DataFrame], DataFrame], *, base: int,
+            files: int | None = None, key: str | None = None) -> int:
+    """Put ``change`` of the rows of some files (column ``path``) in their place; all other files are carried over by name."""
+    done = find(spark, root, key, base) if key else None
+    if done is not None:
+        return done
+    old = manifest(spark, root, base or None)
+    paths = [r.path for r in hit.collect()]  # names of files, bounded by the table's file count
+    new = _write_files(change(_read_files(spark, paths)), root, files)
     kept = old.filter(~F.col("path").isin(paths)) if paths else old
-    return _publish(spark, root, start, kept.unionByName(new))
+    return _publish(spark, root, base, kept.unionByName(new), key)
+
+
+def read_touched(spark: SparkSession, root: str, incoming: DataFrame, version: int) -> DataFrame:
+    """The rows of those files of a version that incoming rows overlap."""
+    return _read_files(spark, [r.path for r in touched(manifest(spark, root, version or None), incoming).collect()])
+
+
+def open_series(spark: SparkSession, root: str, symbols: DataFrame, version: int) -> DataFrame:
+    """All bars of some symbols in a version, from the files that hold any."""
+    paths = manifest(spark, root, version or None).join(symbols.select("symbol"), "symbol", "left_semi").select("path").distinct()
+    return _read_files(spark, [r.path for r in paths.collect()]).join(symbols.select("symbol"), "symbol", "left_semi")
+
+
+def n_rows(spark: SparkSession, root: str, version: int) -> int:
+    """Rows of a version, from its manifest."""
+    return (manifest(spark, root, version).agg(F.sum("n_rows")).first()[0] or 0) if version else 0
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> None:
@@ -150,10 +166,9 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> None:
         named.add(at.rsplit("/", 1)[1])
         named |= {r.path.rsplit("/", 2)[1] for r in manifest(spark, root, v).select("path").distinct().collect()}
     for part in ("data", "manifest"):
-        fs, at = _fs(spark, f"{root}/{part}")
-        for f in fs.listStatus(at) if fs.exists(at) else []:
-            if f.getPath().getName() not in named:
-                fs.delete(f.getPath(), True)
+        for name in ledger.names(spark, f"{root}/{part}"):
+            if name not in named:
+                remove(spark, f"{root}/{part}/{name}")
 
 
 def create_view(spark: SparkSession, name: str, path: str, columns: dict[str, str]) -> DataFrame:
