@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.plans import metrics
-from tickloom.session import durable
+from tickloom.session import durable, stored
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -64,12 +64,79 @@ def win_probability(train: DataFrame, test: DataFrame, features: Sequence[str],
     return out.withColumn("prob", vector_to_array("probability")[1]).drop("features", "scaled", "rawPrediction", "probability", "prediction")
 
 
-def isotonic(train: DataFrame, test: DataFrame, *, pred: str, win: Column) -> DataFrame:
-    """Test rows with a monotone calibrated ``prob`` (clipped to the fitted range)."""
-    from pyspark.ml.regression import IsotonicRegression
+BLOCK = "lo double, hi double, s double, n double, part int"
 
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y").fit(train.select(F.col(pred).alias("_x"), win.cast("double").alias("_y")))
-    return model.transform(test.withColumn("_x", F.col(pred))).withColumnRenamed("prediction", "prob").drop("_x")
+
+def _pooled(blocks: DataFrame, parts: int) -> DataFrame:
+    """Range-partition blocks and pool adjacent violators inside each part."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, out = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for lo, hi, s, n in zip(*[batch.column(c).to_pylist() for c in ("lo", "hi", "s", "n")]):
+                while out and out[-1][2] * n >= s * out[-1][3]:
+                    lo, s, n = out[-1][0], s + out[-1][2], n + out[-1][3]
+                    out.pop()
+                out.append((lo, hi, s, n))
+        for i in range(0, len(out), 100_000):
+            cols = list(zip(*out[i:i + 100_000]))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.float64()) for c in cols], pa.array([part] * len(cols[0]), pa.int32())],
+                                             ["lo", "hi", "s", "n", "part"])
+
+    return blocks.select("lo", "hi", "s", "n").repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(run, BLOCK)
+
+
+def isotonic_blocks(train: DataFrame, *, pred: str, win: Column, part_rows: int = 500_000) -> DataFrame:
+    """Blocks (``lo``, ``hi``, ``s`` wins of ``n`` rows) of the least-squares monotone fit, by distributed pooling.
+
+    Equal predictions are summed first. Parts of at most about ``part_rows`` blocks are pooled each by itself; the blocks
+    that are left are cut anew, at other places, until no two neighbours violate the order. Pooling in any order ends in
+    the same blocks, so the result equals that of one pass. Only counts reach the driver. Rows whose prediction or
+    outcome is null or NaN are left out.
+    """
+    rows = train.select(F.col(pred).cast("double").alias("lo"), win.cast("double").alias("y")).filter("lo IS NOT NULL AND NOT isnan(lo) AND y IS NOT NULL")
+    # -0.0 and 0.0 are one prediction
+    blocks = stored(rows.groupBy((F.col("lo") + 0.0).alias("lo")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("n")).select(
+        "lo", F.col("lo").alias("hi"), "s", "n"), "isotonic")
+    left, turn = blocks.count(), 0
+    while True:
+        # i / p and j / (p + 1) never meet: every other round cuts between the borders of the last
+        parts = -(-left // part_rows) or 1
+        blocks = stored(_pooled(blocks, parts + turn % 2 if parts > 1 else 1), "isotonic")
+        left, turn = blocks.count(), turn + 1
+        edge = blocks.groupBy("part").agg(F.min_by(F.col("s") / F.col("n"), "lo").alias("first"), F.max_by(F.col("s") / F.col("n"), "lo").alias("last"))
+        clash = edge.withColumn("before", F.lag("last").over(Window.orderBy("part"))).filter(F.col("before") >= F.col("first"))
+        if parts == 1 or clash.isEmpty():
+            return blocks.drop("part")
+
+
+def isotonic(train: DataFrame, test: DataFrame, *, pred: str, win: Column, part_rows: int = 500_000) -> DataFrame:
+    """Test rows with a monotone calibrated ``prob``: linear between blocks, clipped to the fitted range.
+
+    Distinct test predictions and blocks share range parts; what a part needs of its neighbours is one
+    block on each side. Without a usable train row, or for a null or NaN prediction, ``prob`` is null.
+    """
+    blocks = isotonic_blocks(train, pred=pred, win=win, part_rows=part_rows)
+    x = F.col(pred).cast("double") + 0.0
+    ask = test.select(x.alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").distinct().withColumn("b", F.lit(None).cast("struct<lo:double,hi:double,p:double>"))
+    known = blocks.select(F.col("lo").alias("x"), F.struct("lo", "hi", (F.col("s") / F.col("n")).alias("p")).alias("b"))
+    both = stored(ask.unionByName(known).repartitionByRange("x").withColumn("part", F.spark_partition_id()), "isotonic")
+    order = Window.orderBy("part")  # one row a part
+    edge = both.groupBy("part").agg(F.min("b").alias("first"), F.max("b").alias("last"))
+    edge = edge.select("part", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                       F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # a block stands before the equal prediction it starts at
+    w = Window.partitionBy("part").orderBy("x", F.col("b").isNull())
+    back = Window.partitionBy("part").orderBy(F.desc("x"), F.desc(F.col("b").isNull())).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumns({"at": F.last("b", True).over(w), "next": F.last("b", True).over(back)})
+    near = near.filter("b IS NULL").join(edge, "part").select("x", F.coalesce("at", "before").alias("at"), F.coalesce("next", "after").alias("next"))
+    step = (F.col("x") - F.col("at.hi")) / (F.col("next.lo") - F.col("at.hi"))
+    prob = (F.when(F.col("at").isNull(), F.col("next.p")).when((F.col("x") <= F.col("at.hi")) | F.col("next").isNull(), F.col("at.p"))
+            .otherwise(F.col("at.p") + step * (F.col("next.p") - F.col("at.p"))))
+    fitted = near.select(F.col("x").alias("_x"), prob.alias("prob"))
+    return test.withColumn("_x", x).join(fitted, "_x", "left").drop("_x")
 
 
 def brier(scored: DataFrame, win: Column, by: Sequence[str] = ()) -> DataFrame:
