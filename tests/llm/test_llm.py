@@ -225,6 +225,14 @@ def test_chat_round_trip(spark):
     assert chat.windows(turns.where("false")).count() == 0
 
 
+def test_contexts_of_the_most_symbols_fit():
+    base = lm_scoring.checked_base(int(1 / lm_scoring.SYMBOL_SHARE) + 1)
+    codes = lm_scoring.histories(np.full(lm_scoring.DEPTH + 1, base - 1), np.array([lm_scoring.DEPTH + 1]), lm_scoring.DEPTH, base)
+    assert int(codes[-1][-1]) == base**lm_scoring.DEPTH - 1 and int((codes[-1] * base + base - 1)[-1]) == base ** (lm_scoring.DEPTH + 1) - 1
+    with pytest.raises(ValueError):
+        lm_scoring.checked_base(60_000)
+
+
 def test_encoder_equals_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -183,9 +183,16 @@ def count_next(segs: DataFrame, symbols: Symbols, contexts: np.ndarray, depth: i
     return rows.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
 
 
+def checked_base(base: int) -> int:
+    """A context and its next symbol are one signed 64-bit number; ``SYMBOL_SHARE`` keeps the symbols few enough for that."""
+    if base ** (DEPTH + 1) > 2**63:
+        raise ValueError(f"{base} symbols do not fit into contexts of {DEPTH}: raise SYMBOL_SHARE or lower DEPTH")
+    return base
+
+
 def grow_tree(segs: DataFrame, symbols: Symbols, total: int, types: int) -> list[dict]:
     """Per depth the retained contexts with their smoothed tables, sorted for look-up."""
-    base = len(symbols.count)
+    base = checked_base(len(symbols.count))
     # parent of depth 1: the base distribution over symbols (add-one, spread over unseen words in symbol 0)
     p0 = (symbols.count + np.where(np.arange(base) == 0, types + 1 - (base - 1), 1)) / (total + types + 1)
     tree: list[dict] = []
@@ -212,8 +219,6 @@ def grow_tree(segs: DataFrame, symbols: Symbols, total: int, types: int) -> list
         keep = gain >= DIVERGENCE
         kept_rows = np.repeat(keep, np.diff(np.append(first, len(n))))
         tree.append({"ctx": c[keep], "rest": rest[keep], "key": (ctx * base + sym)[kept_rows], "p": p[kept_rows]})
-        if (base ** (depth + 1)) * base >= 2**62:
-            break
         frequent_next = n >= least
         candidates = np.unique((ctx * base + sym)[frequent_next])
     return tree
@@ -223,7 +228,7 @@ def lookup(tree: list[dict], depth: int, ctx: np.ndarray, sym: np.ndarray, p0: n
     """P(symbol | context of ``depth`` symbols), falling to shorter retained suffixes."""
     p = p0[sym]
     for d in range(1, min(depth, len(tree)) + 1):
-        p = step(tree[d - 1], ctx % base**d if base**d < 2**62 else ctx, sym, p, base)
+        p = step(tree[d - 1], ctx % base**d, sym, p, base)
     return p
 
 
