@@ -7,7 +7,7 @@ from conftest import as_rows
 from pyspark.sql import functions as F
 
 from tickloom.plans import chains, maintenance as mn
-from tickloom.sources import ledger as lg, store, versioned
+from tickloom.sources import ledger as lg, store, vendor, versioned
 
 
 class Died(RuntimeError):
@@ -130,6 +130,23 @@ def test_refresh_resumes_and_respects_its_window(spark, daily, tmp_path, dies):
     assert call().steps == run.steps and versioned.versions(spark, root) == [1, 2]
 
 
+def test_refresh_takes_the_same_candles_in_another_order_for_the_same_input(spark, daily, tmp_path):
+    root, ledger = str(tmp_path / "t"), str(tmp_path / "l")
+    versioned.create(daily.filter("ts < '2024-06-20'"), root, files=4)
+    tokens = spark.createDataFrame([("AA", 1), ("BB", 2), ("CC", 3)], "symbol string, token int")
+    call = lambda p: chains.refresh_cycle(p, tokens, root, ledger, scales=("day",), floor="2024-06-10", end="2024-06-28", files=2)
+    backwards = F.expr("reverse(from_json(payload, 'candles array<array<string>>').candles)")
+    sent = payload(daily)
+    first = call(sent)
+    again = call(sent.withColumn("payload", F.to_json(F.struct(backwards.alias("candles")))))
+    assert again.key == first.key and versioned.versions(spark, root) == [1, 2]
+    call(sent.withColumn("payload", F.regexp_replace("payload", "100", "101")))
+    assert versioned.versions(spark, root) == [1, 2, 3]
+    odd = spark.createDataFrame([("AA", "day", 1, p) for p in ("not json", '{"candles":[["1",null]]}', '{"candles":[[null,"1"]]}', None)],
+                                "symbol string, scale string, chunk int, payload string")
+    assert odd.count() == vendor.candle_rows(odd).distinct().count() == 4
+
+
 def test_refresh_of_an_absent_table_and_of_nothing(spark, daily, tmp_path):
     root, ledger = str(tmp_path / "t"), str(tmp_path / "l")
     tokens = spark.createDataFrame([("AA", 1)], "symbol string, token int")

@@ -53,7 +53,8 @@ def refresh_cycle(payloads: DataFrame, tokens: DataFrame, root: str, ledger: str
     Steps: begin, staged, overlap, merged, done.
     """
     spark = payloads.sparkSession
-    content = lg.content_key(payloads, root=root, scales=list(scales), floor=floor, end=end, overlap=overlap_days)
+    # a fetch may list the same candles in another order: the candles are the input, not their text
+    content = lg.content_key(vendor.candle_rows(payloads), root=root, scales=list(scales), floor=floor, end=end, overlap=overlap_days)
     run = lg.begin(spark, ledger, "refresh", content, {"version": _newest(spark, root)}, _ours(spark, root))
     if run.finished:
         return run

@@ -23,6 +23,19 @@ def _typed(rows: DataFrame, ts: Column, field) -> tuple[DataFrame, DataFrame]:
     return good, typed.filter(~whole).select(*keep, "_row")
 
 
+def _candles(payload: Column) -> Column:
+    body = "candles array<array<string>>"
+    parsed = F.from_json(payload, f"{body}, payload struct<{body}>")
+    return F.coalesce(parsed["candles"], parsed["payload"]["candles"])
+
+
+def candle_rows(raw: DataFrame) -> DataFrame:
+    """The content of payloads: one row per candle as fetched, in no order; a payload without candles stays one row."""
+    rows = raw.withColumn("_row", F.explode_outer(_candles(F.col("payload"))))
+    text = F.coalesce(F.to_json("_row"), F.col("payload"))
+    return rows.select(*[c for c in raw.columns if c != "payload"], text.alias("candle"))
+
+
 def candles_from_arrays(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``symbol, scale, chunk, payload`` (JSON) -> bars and rejected rows.
 
@@ -30,9 +43,7 @@ def candles_from_arrays(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside ``payload``.  Rows that are short or not numeric are rejected, daily bars
     move from midnight to the session close.
     """
-    body = "candles array<array<string>>"
-    parsed = raw.withColumn("_p", F.from_json("payload", f"{body}, payload struct<{body}>"))
-    rows = parsed.withColumn("_row", F.explode(F.coalesce("_p.candles", "_p.payload.candles"))).drop("_p")
+    rows = raw.withColumn("_row", F.explode(_candles(F.col("payload"))))
     at = lambda i: F.try_element_at("_row", F.lit(i + 1))
     return _typed(rows, F.timestamp_seconds(at(0).try_cast("bigint")), at)
 
