@@ -14,6 +14,7 @@ NEW_SYMBOL, END, DAYS = "Brand#11", "2001-06-30", 2000
 
 def refreshed(s, d):
     root, ledger = shared_folder(s, "refresh"), shared_folder(s, "refresh-steps")
+    d = mv.market(s, d)
     versioned.create(mv.production_bars(s, d).filter(F.col("symbol") != NEW_SYMBOL), root, files=16)
     tokens = mv.symbol_master(s, d).select("symbol", (F.col("symbol_no") + 1000).alias("token"))
     for _ in range(2):
@@ -57,6 +58,7 @@ def q_calendar(s, d):
 
 def repaired(s, d):
     root, ledger = shared_folder(s, "repair"), shared_folder(s, "repair-steps")
+    d = mv.market(s, d)
     versioned.create(mv.production_bars(s, d), root, files=16)
     fresh = mv.staged_bars(s, d).filter(F.dayofyear("ts") % 17 != 0)
     for _ in range(2):
