@@ -87,6 +87,19 @@ def test_records(spark, docs):
             assert struct.unpack_from("<Q", frame)[0] == len(frame) - 16 == 12 + 2 * r.n_tokens
 
 
+def test_one_encoder_per_worker_whatever_the_tasks(spark):
+    path = records.tokenizer_path()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([id(records.text_ids(path))])], ["worker", "encoder"])
+
+    seen = spark.range(0, 12, 1, 12).mapInArrow(run, "worker long, encoder long").collect()
+    assert len(seen) == 12 and len({tuple(r) for r in seen}) == len({r.worker for r in seen}) <= 4
+
+
 def test_damaged_records(spark):
     whole = records.frames([b"abcdef", b"", b"xyz"])
     starts, ends = records.payload_spans(whole)

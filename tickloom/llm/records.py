@@ -16,6 +16,7 @@ A frame that is cut short or fails a checksum raises ``ValueError``.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -223,6 +224,12 @@ class TextIds:
         return b"".join(b"".join(map(get, p)) if s else next(others) for p, s in zip(pieces, simple))
 
 
+@functools.lru_cache(maxsize=1)
+def text_ids(path: str) -> TextIds:
+    """One encoder per Python worker: its vocabulary and cache outlive a task and never stand there twice."""
+    return TextIds(path)
+
+
 # ---- files -------------------------------------------------------------------------------------
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
@@ -239,7 +246,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     dealt = dealt.repartitionByRange(max(partitions(spark), -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder = TextIds(tokenizer)
+        encoder = text_ids(tokenizer)
         end, width = np.array([end_id], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         block, size = [], 0
         for batch in batches:
@@ -257,7 +264,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     out = dealt.select("doc_id", "text").mapInArrow(run, "value binary").selectExpr("cast(value as string) as value")
     # every byte of the empty frame as the character of that number
     out.write.option("lineSep", frames([b""]).decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/data")
-    scan_records(spark, path).select(*[c.split()[0] for c in INDEX.split(", ")]).write.parquet(f"{path}/index")
+    scan_records(spark, path, with_ids=False).select(*[c.split()[0] for c in INDEX.split(", ")]).write.parquet(f"{path}/index")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -270,19 +277,20 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
-def decoded(part: int, content: bytes, spans) -> dict:
-    """Columns of the records at ``spans``."""
+def decoded(part: int, content: bytes, spans, with_ids: bool = True) -> dict:
+    """Columns of the records at ``spans``; the ids are null on request."""
     out = {c: [] for c in ("part", "record", "offset", "size", "doc_id", "n_tokens", "before", "ids")}
     record = before = 0
     for s, e in spans:
         if s == e:
             continue
         known, width, doc_id = struct.unpack_from(HEAD, content, s)
-        ids = np.frombuffer(content, f"<u{width}", (e - s - HEAD_BYTES) // width, s + HEAD_BYTES).astype("<u4").tobytes()
-        for c, v in zip(out, (part, record, s - 12, e - s + 16, doc_id if known else None, len(ids) // 4, before, ids)):
+        n = (e - s - HEAD_BYTES) // width
+        ids = np.frombuffer(content, f"<u{width}", n, s + HEAD_BYTES).astype("<u4").tobytes() if with_ids else None
+        for c, v in zip(out, (part, record, s - 12, e - s + 16, doc_id if known else None, n, before, ids)):
             out[c].append(v)
         record += 1
-        before += len(ids) // 4
+        before += n
     return out
 
 
@@ -296,13 +304,13 @@ def in_batches(cols: dict, rows: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name][i:i + rows], f.type) for f in SCAN], schema=SCAN)
 
 
-def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record in file order, ids widened to 32 bits, checksums verified; ``before``: ids of the records before it in its file."""
+def scan_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Every record in file order, ids widened to 32 bits (or left out), checksums verified; ``before``: ids of the records before it in its file."""
     def run(batches):
         for batch in batches:
             for part, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_py()
-                yield from in_batches(decoded(part, data, zip(*(x.tolist() for x in payload_spans(data)))))
+                yield from in_batches(decoded(part, data, zip(*(x.tolist() for x in payload_spans(data))), with_ids))
 
     return files(spark, path).mapInArrow(run, SCAN_DDL)
 
