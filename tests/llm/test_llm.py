@@ -165,6 +165,29 @@ def test_quality_learns(spark):
     assert ((s.quality_score > 0.5) == (s.quality == 1)).mean() > 0.97 and s.quality_score.between(0, 1).all()
 
 
+def test_quality_fits_in_little_memory_and_as_in_one_pass():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, k = 1500, 600
+    idx = np.sort(rng.integers(0, 2 * quality.DIM, (n, k)), axis=1).astype(np.uint16)
+    val = rng.random((n, k)).astype(np.float32)
+    table = pa.table({"doc_id": rng.permutation(n), "quality": pa.array(rng.integers(0, 2, n), pa.int32()),
+                      "idx": pa.array([x.tobytes() for x in idx], pa.binary()), "val": pa.array([x.tobytes() for x in val], pa.binary())})
+    y, held, blocks = quality.blocks_of(table)
+    tracemalloc.start()
+    w, b = quality.descend(blocks, y, ~held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * k  # less than one double for every feature of every document
+    whole = [(np.flatnonzero(~held), *(np.concatenate([x[i] for x in blocks if not held[x[0][0]]]) for i in (1, 2)),
+              np.concatenate([np.searchsorted(np.flatnonzero(~held), x[0])[x[3]] for x in blocks if not held[x[0][0]]]))]
+    w1, b1 = quality.descend(whole, y, ~held)
+    assert np.array_equal(w, w1) and b == b1
+
+
 def test_licenses(docs, empty):
     want = []
     for _, i, t in plain(docs):

@@ -24,6 +24,8 @@ from tickloom.llm.common import table
 
 DIM, MAX_TRAIN_ROWS, THRESHOLD, ROUNDS, DECAY = 1 << 14, 4096, 0.2, 80, 1e-4
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: documents that a pass of the fit takes at once
+BLOCK_ROWS = 256
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 STAT_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -90,7 +92,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
                 key, inverse = np.unique(d.astype(np.int64) * (2 * DIM) + f, return_inverse=True)
                 val = np.bincount(inverse, weights=share, minlength=len(key)).astype(np.float32)
                 cut = np.searchsorted(key, np.arange(j - i + 1) * (2 * DIM))
-                idx = (key % (2 * DIM)).astype(np.int32)
+                idx = (key % (2 * DIM)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [ids[i:j], marks[i:j], pa.array([idx[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                      pa.array([val[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["doc_id", "quality", "idx", "val"])
@@ -108,32 +110,54 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     # about max_train_rows ids whatever the size of the tables: small enough to broadcast
     sample = known.where(place < int(keep * (1 << 20))).select("doc_id", "quality")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(feature_rows(texts).toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    y = np.array([r["quality"] for r in rows], float)
+    y, held, blocks = blocks_of(feature_rows(texts).toArrow())
     if len(set(y)) < 2:
         return None
-    idx = [np.frombuffer(r["idx"], np.int32) for r in rows]
-    val = [np.frombuffer(r["val"], np.float32) for r in rows]
-    held = np.arange(len(rows)) % 4 == 3
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in idx])
-    idx, val = np.concatenate(idx), np.concatenate(val)
-    used = ~held[doc]
-    w, b = descend(idx[used], val[used], doc[used], y, ~held)
-    margin = b + np.bincount(doc, weights=w[idx] * val, minlength=len(y))
+    w, b = descend(blocks, y, ~held)
+    margin = np.full(len(y), b)
+    for rows, idx, val, doc in blocks:
+        margin[rows] += np.bincount(doc, weights=w[idx] * val, minlength=len(rows))
     on = held if len(set(y[held])) == 2 else ~held
     return {"w": w, "b": b, "platt": platt(margin[on], y[on])}
 
 
-def descend(idx, val, doc, y, on):
+def blocks_of(table: pa.Table):
+    """(labels, held out, blocks) of the documents in ascending order: a block is (rows, idx, val, place in rows) of the documents
+    of one kind, held out or not, among ``BLOCK_ROWS``. Passes over blocks keep the driver's working arrays small."""
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    y = table.column("quality").to_numpy()[order].astype(float)
+    held = np.arange(len(y)) % 4 == 3
+    blocks = []
+    for i in range(0, len(y), BLOCK_ROWS):
+        for kind in (False, True):
+            rows = i + np.flatnonzero(held[i:i + BLOCK_ROWS] == kind)
+            if len(rows):
+                idx, val = ([np.frombuffer(table.column(c)[int(k)].as_buffer(), dtype) for k in order[rows]]
+                            for c, dtype in (("idx", np.uint16), ("val", np.float32)))
+                doc = np.repeat(np.arange(len(rows), dtype=np.uint16), [len(x) for x in idx])
+                blocks.append((rows, np.concatenate(idx), np.concatenate(val), doc))
+    return y, held, blocks
+
+
+def descend(blocks, y, on):
     """Full-batch Adam on the logistic loss with weight decay; features are scaled by their spread."""
-    scale = 1.0 / np.sqrt(np.bincount(idx, weights=val.astype(float) ** 2, minlength=2 * DIM) / max(on.sum(), 1) + 1e-9)
-    x = val * scale[idx]
-    w, b, n = np.zeros(2 * DIM), 0.0, max(on.sum(), 1)
+    blocks = [x for x in blocks if on[x[0][0]]]
+    n = max(on.sum(), 1)
+    spread = np.zeros(2 * DIM)
+    for _, idx, val, _ in blocks:
+        np.add.at(spread, idx.astype(np.intp), val.astype(float) ** 2)
+    scale = 1.0 / np.sqrt(spread / n + 1e-9)
+    w, b = np.zeros(2 * DIM), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = b + np.bincount(doc, weights=w[idx] * x, minlength=len(y))
-        r = np.where(on, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0) / n
-        g, gb = np.bincount(idx, weights=r[doc] * x, minlength=2 * DIM) + DECAY * w, r.sum()
+        g, r = np.zeros_like(w), np.zeros(len(y))
+        for rows, idx, val, doc in blocks:
+            idx = idx.astype(np.intp)
+            x = val * scale[idx]
+            z = b + np.bincount(doc, weights=w[idx] * x, minlength=len(rows))
+            r[rows] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / n
+            np.add.at(g, idx, r[rows][doc] * x)
+        g, gb = g + DECAY * w, r.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
